@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.functions.content import hash_key, hash_value, location
-from gridloom.llm import history, mixing, packing, subset, survivors, tokens, visual
+from gridloom.llm import clusters, history, imaging, mixing, neardup, neighbours, packing, subset, survivors, tokens, visual
 from gridloom.session import cut, table
 
 #: Production parameters.
@@ -55,6 +55,23 @@ def p1_best_records(spark: SparkSession, folder: str) -> DataFrame:
     return kept.select(F.col("g").cast("string").alias("group_hash"), "records", F.col("keep_id").cast("bigint").alias("keep_id"), F.col("use_count").cast("int").alias("use_count"), F.col("feature_version").cast("int").alias("feature_version"), F.col("created_at").cast("timestamp_ntz").alias("created_at"), "format")
 
 
+def _comparable(spark: SparkSession, folder: str) -> DataFrame:
+    return imaging.comparable_images(table(spark, folder, "images"))
+
+
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    return clusters.linked_clusters(_comparable(spark, folder)).select("cluster_key", "image_id")
+
+
+def p2_scenes(spark: SparkSession, folder: str) -> DataFrame:
+    """Every scene with its size and its most typical images."""
+    return clusters.cluster_report(cut(clusters.linked_clusters(_comparable(spark, folder))))
+
+
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    return neardup.near_duplicates(_comparable(spark, folder))
+
+
 def _entries(df: DataFrame, *keep: str) -> DataFrame:
     """(keep..., kind, fp, text): content values and locations of rows, each with its fingerprint."""
     base = df.select(*keep, hash_key(F.col("file_hash")).alias("hv"), location(F.col("file_path")).alias("place"))
@@ -89,6 +106,18 @@ def p5_subset(spark: SparkSession, folder: str) -> DataFrame:
     return subset.varied_subset(images, round(SUBSET_SHARE * images.count()))
 
 
+def p7_found(spark: SparkSession, folder: str) -> DataFrame:
+    asked = table(spark, folder, "knn_probes").select(F.col("probe_no").alias("q"), F.col("image_id").alias("own"))
+    return neighbours.nearest_images(_comparable(spark, folder), asked).select(F.col("q").alias("probe_no"), F.col("id").alias("neighbour_id"))
+
+
+def p7_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    """The 10 nearest of every comparable image whose id is divisible by 20, among all."""
+    comparable = _comparable(spark, folder)
+    asked = comparable.where("id % 20 = 0").select(F.col("id").alias("q"), F.col("id").alias("own"))
+    return neighbours.nearest_images(comparable, asked).select(F.col("q").alias("image_id"), "rank", F.col("id").alias("neighbour_id"), F.round("distance", 6).alias("distance"))
+
+
 def _sized(spark: SparkSession, folder: str) -> DataFrame:
     """The documents' sizes in tokens, encoded once and written."""
     return cut(tokens.with_token_count(table(spark, folder, "documents").select("doc_id", "source", "text"), "text"))
@@ -124,6 +153,9 @@ def p10_canonical(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (p1_found, p1_best_records, p4_found, p4_near_places, p5_subset, p8_packs, p8_report, p9_mixture, p9_shares, p10_found, p10_canonical)
-}
+    for f in (
+        p1_found, p1_best_records, p2_found, p2_scenes, p3_found, p4_found, p4_near_places, p5_subset, p7_found, p7_neighbours,
+        p8_packs, p8_report, p9_mixture, p9_shares, p10_found, p10_canonical,
+    )
+}
 SQL: dict[str, str] = {}
