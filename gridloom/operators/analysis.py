@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from gridloom.operators.ranking import spread_rank
 
 #: Numerators and denominators of the index percentiles: value number n * p div q of the sorted values, from 0.
-PERCENTILES = {"median": (1, 2), "p90": (9, 10), "p99": (99, 100)}
+PERCENTILES = {"median": (1, 2), "p90": (9, 10), "p95": (95, 100), "p99": (99, 100)}
 
 
 def index_percentiles(rows: DataFrame, group: str, value: str, names: tuple[str, ...] = ("median", "p90", "p99")) -> DataFrame:
