@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import shutil
 import tempfile
 import uuid
@@ -47,11 +48,19 @@ def _drop_own_folders() -> None:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Write df to a Parquet table in the shared folder and read it back: the lineage ends there and survives lost executors."""
+    """Write df to a Parquet table in the shared folder and read it back: the lineage ends there and survives lost executors.
+
+    What fed the table is no longer needed, but Spark drops its shuffle files only when the driver collects garbage, which a
+    driver with little to do seldom does; so it is asked to.
+    """
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/cut-{uuid.uuid4().hex}"
+    schema = df.schema
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    del df
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+    return spark.read.schema(schema).parquet(path)
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
