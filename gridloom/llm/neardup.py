@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -17,19 +17,19 @@ AVERAGE = 8.0
 CELL = 5.0
 AGREE = 58
 
-#: Width of a quantised cell value; bands, MinHash values a band, MinHash values kept for pruning.
+#: Width of a quantised cell value; bands, MinHash values a band, MinHash values kept for each step of pruning.
 STEP = 12.0
 BANDS = 40
 ROWS = 3
-KEPT = 32
+KEPT = 32, 64
 #: Candidates stay while the chance that their sets' similarity reaches REACH is at least TOLERANCE.
-REACH = 0.25
+REACH = 0.35
 TOLERANCE = 1e-3
 
 _rng = np.random.default_rng(20240229)
 _SHIFT = _rng.uniform(0, STEP, (8, 4, 3)).astype(np.float32)
-_ODD = (_rng.integers(0, 2**32, BANDS * ROWS + KEPT, dtype=np.uint64).astype(np.uint32) | np.uint32(1))
-_ADD = _rng.integers(0, 2**32, BANDS * ROWS + KEPT, dtype=np.uint64).astype(np.uint32)
+_ODD = (_rng.integers(0, 2**32, BANDS * ROWS + sum(KEPT), dtype=np.uint64).astype(np.uint32) | np.uint32(1))
+_ADD = _rng.integers(0, 2**32, BANDS * ROWS + sum(KEPT), dtype=np.uint64).astype(np.uint32)
 
 
 def _mix32(x: np.ndarray) -> np.ndarray:
@@ -78,27 +78,25 @@ def _band_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for whole in batches:
         for s in range(0, len(whole), 2000):
             b = whole.slice(s, 2000)
-            content = column(b, "content").to_numpy()
-            content, at = np.unique(content, return_index=True)  # exact copies of this batch meet once
-            tok = tokens(unpack(column(b, "vec"))[at])
-            a = _coarse(numbers(b, "avg_l", "avg_a", "avg_b")[at])
+            tok = tokens(unpack(column(b, "vec")))
+            a = _coarse(numbers(b, "avg_l", "avg_a", "avg_b"))
             low = (a[:, 0] << 20 | a[:, 1] << 10 | a[:, 2])[:, None]
             key = (_bands(tok).astype(np.int64) << 32 | low).ravel()
-            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.repeat(content, BANDS))], names=["key", "content"])
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.repeat(column(b, "id").to_numpy(), BANDS))], names=["key", "id"])
 
 
 def _pairs_of_slice(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of contents that share a band and whose averages can be near; the slice's rows are 16 bytes each."""
-    got = [(column(b, "key").to_numpy(), column(b, "content").to_numpy()) for b in batches]
+    """Pairs of images that share a band and whose averages can be near; the slice's rows are 16 bytes each."""
+    got = [(column(b, "key").to_numpy(), column(b, "id").to_numpy()) for b in batches]
     if not got:
         return
-    key, content = (np.concatenate(x) for x in zip(*got))
+    key, rep = (np.concatenate(x) for x in zip(*got))
     del got
-    order = np.lexsort((content, key >> 32))
-    key, content = key[order], content[order]
+    order = np.lexsort((rep, key >> 32))
+    key, rep = key[order], rep[order]
     band = key >> 32
-    fresh = np.r_[True, (band[1:] != band[:-1]) | (content[1:] != content[:-1])]
-    key, content, band = key[fresh], content[fresh], band[fresh]
+    fresh = np.r_[True, (band[1:] != band[:-1]) | (rep[1:] != rep[:-1])]
+    key, rep, band = key[fresh], rep[fresh], band[fresh]
     avg = np.column_stack([key >> 20 & 1023, key >> 10 & 1023, key & 1023]).astype(np.int16)
     start = np.flatnonzero(np.r_[True, band[1:] != band[:-1]])
     size = np.diff(np.r_[start, len(band)])
@@ -116,7 +114,7 @@ def _pairs_of_slice(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(todo[r]) - todo[r], todo[r])
         near = (np.abs(avg[i] - avg[j]) <= limit).all(1)
         if near.any():
-            yield pa.RecordBatch.from_arrays([pa.array(content[i[near]]), pa.array(content[j[near]])], names=["x", "y"])
+            yield pa.RecordBatch.from_arrays([pa.array(rep[i[near]]), pa.array(rep[j[near]])], names=["x", "y"])
         at += len(r)
 
 
@@ -134,31 +132,43 @@ def least_matches(of: int, power: int) -> int:
     return next(m for m in range(of + 1) if _chance(m, of, power) >= TOLERANCE)
 
 
-def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for whole in batches:
-        for s in range(0, len(whole), 4000):
-            b = whole.slice(s, 4000)
-            m = minhashes(tokens(unpack(column(b, "vec"))), BANDS * ROWS, BANDS * ROWS + KEPT)
-            data = np.ascontiguousarray((m >> np.uint32(8)).astype(np.uint8)).reshape(-1)
-            offsets = np.arange(len(b) + 1, dtype=np.int32) * KEPT
-            yield pa.RecordBatch.from_arrays([column(b, "content"), pa.Array.from_buffers(pa.binary(), len(b), [None, pa.py_buffer(offsets), pa.py_buffer(data)])], names=["content", "sig"])
+def _signatures(step: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """(id, sig): the low bytes of the MinHash values kept for a step of pruning."""
+    first = BANDS * ROWS + sum(KEPT[:step])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for s in range(0, len(whole), 4000):
+                b = whole.slice(s, 4000)
+                m = minhashes(tokens(unpack(column(b, "vec"))), first, first + KEPT[step])
+                data = np.ascontiguousarray((m >> np.uint32(8)).astype(np.uint8)).reshape(-1)
+                offsets = np.arange(len(b) + 1, dtype=np.int32) * KEPT[step]
+                yield pa.RecordBatch.from_arrays([column(b, "id"), pa.Array.from_buffers(pa.binary(), len(b), [None, pa.py_buffer(offsets), pa.py_buffer(data)])], names=["id", "sig"])
 
+    return run
 
-def _prune(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _prune(step: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Compares signatures eight values at a time and drops pairs as soon as they fall below the least count."""
-    steps = [(n, least_matches(n, 1)) for n in range(8, KEPT + 1, 8)]
-    for b in batches:
-        if not len(b):
-            continue
-        x, y = (np.frombuffer(b"".join(column(b, c).to_pylist()), np.uint8).reshape(-1, KEPT) for c in ("sig_x", "sig_y"))
-        alive = np.arange(len(b))
-        count = np.zeros(len(b), np.int16)
-        done = 0
-        for n, least in steps:
-            count[alive] += (x[alive, done:n] == y[alive, done:n]).sum(1, dtype=np.int16)
-            alive = alive[count[alive] >= least]
-            done = n
-        yield pa.RecordBatch.from_arrays([column(b, "x").take(pa.array(alive)), column(b, "y").take(pa.array(alive))], names=["x", "y"])
+    before, kept = sum(KEPT[:step]), KEPT[step]
+    steps = [(n, least_matches(before + n, 1)) for n in range(8, kept + 1, 8)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not len(b):
+                continue
+            x, y = (np.frombuffer(b"".join(column(b, c).to_pylist()), np.uint8).reshape(-1, kept) for c in ("sig_x", "sig_y"))
+            alive = np.arange(len(b))
+            count = column(b, "agreed").to_numpy().astype(np.int32)
+            done = 0
+            for n, least in steps:
+                count[alive] += (x[alive, done:n] == y[alive, done:n]).sum(1, dtype=np.int32)
+                alive = alive[count[alive] >= least]
+                done = n
+            at = pa.array(alive)
+            yield pa.RecordBatch.from_arrays([column(b, "x").take(at), column(b, "y").take(at), pa.array(count[alive])], names=["x", "y", "agreed"])
+
+    return run
 
 
 def agreeing_cells(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -178,14 +188,14 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([column(b, "x").filter(good), column(b, "y").filter(good)], names=["x", "y"])
 
 
-#: Bits of the fixed-size filter that keeps vectors of contents without candidates from being shuffled: 2 MB.
+#: Bits of the fixed-size filter that keeps vectors of images without candidates from being shuffled: 2 MB.
 FILTER_BITS = 24
 
 
 def _only_named(vectors: DataFrame, named: DataFrame) -> DataFrame:
-    """The rows of vectors whose content may be in named (content): exact rows plus few chance ones."""
+    """The rows of vectors whose id may be in named (id): exact rows plus few chance ones."""
     spark = vectors.sparkSession
-    slot = F.pmod(F.xxhash64("content"), F.lit(1 << FILTER_BITS)).alias("slot")
+    slot = F.pmod(F.xxhash64("id"), F.lit(1 << FILTER_BITS)).alias("slot")
     words = named.select(slot).select(F.shiftright("slot", 5).alias("word"), F.expr("shiftleft(1L, CAST(slot % 32 AS INT)) AS bit"))
     parts = words.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
     flags = np.zeros(1 << (FILTER_BITS - 5), np.int64)
@@ -201,37 +211,47 @@ def _only_named(vectors: DataFrame, named: DataFrame) -> DataFrame:
     return vectors.select("*", slot).mapInArrow(run, schema)
 
 
+#: Rows of exact copies that are broadcast, at most; more are joined by a shuffle.
+FEW = 200_000
+
+
 def near_duplicates(comparable: DataFrame) -> DataFrame:
     """(id_a, id_b), smaller id first: pairs of comparable images with near averages and at least 58 agreeing cells.
 
-    Contents (grid and averages, byte for byte) stand for all their images until the end, so copies meet once. Bands of
-    MinHash values make candidates; near averages ride along in the band's key and are compared where a band's contents
-    meet. Pairs met in one band only are pruned: MinHash values are compared eight at a time while the posterior chance of
-    reaching the similarity is above the tolerance. What is left is verified on the vectors. Images of equal content are
-    pairs by definition. Larger buckets are gone through piece by piece; none is capped.
+    Of images equal in grid and averages, byte for byte, the one of smallest id stands for all until the end, so copies meet
+    once. Bands of MinHash values make candidates; near averages ride along in the band's key and are compared where a
+    band's images meet. Candidates are pruned: MinHash values are compared eight at a time while the posterior chance of
+    reaching the similarity is above the tolerance; pairs that met in several bands have shown theirs. What is left is
+    verified on the vectors. Images of equal content are pairs by definition. Large buckets are gone through piece by
+    piece; none is capped. Empty input, empty result.
     """
     n = comparable.count()
     slices = max(8, -(-n * BANDS // 1_000_000))
-    bands = comparable.select("vec", "avg_l", "avg_a", "avg_b", "content").mapInArrow(_band_rows, "key bigint, content bigint")
+    member = comparable.select("id", "content")
+    copied = member.groupBy("content").agg(F.min("id").alias("rep"), F.count("*").alias("n")).where("n > 1")
+    copies = cut(member.join(copied, "content").where("id <> rep").select("id", "rep"))
+    few = copies.count() <= FEW
+    single = comparable.join(F.broadcast(copies.select("id")) if few else copies.select("id"), "id", "left_anti")
+    bands = single.select("id", "vec", "avg_l", "avg_a", "avg_b").mapInArrow(_band_rows, "key bigint, id bigint")
     met = bands.repartition(slices, F.shiftright("key", 32)).mapInArrow(_pairs_of_slice, "x bigint, y bigint")
-    met = cut(met.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).groupBy("x", "y").agg(F.count("*").cast("int").alias("bands")))
+    met = met.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).repartition("x").groupBy("x", "y").agg(F.count("*").cast("int").alias("bands"))
+    met = cut(met)
     sure = met.where("bands > 1").select("x", "y")
-    once = met.where("bands = 1").select("x", "y")
-    one_each = comparable.groupBy("content").agg(F.min_by(F.struct("vec"), "id").alias("v")).select("content", "v.vec")
-    sig = cut(one_each.mapInArrow(_signatures, "content bigint, sig binary"))
-    once = once.join(sig.select(F.col("content").alias("x"), F.col("sig").alias("sig_x")), "x").join(sig.select(F.col("content").alias("y"), F.col("sig").alias("sig_y")), "y")
-    left = cut(sure.unionByName(once.mapInArrow(_prune, "x bigint, y bigint")))
-    named = left.select(F.explode(F.array("x", "y")).alias("content"))
-    wanted = _only_named(comparable.select("content", "vec", "avg_l", "avg_a", "avg_b"), named)
-    wanted = cut(wanted.groupBy("content").agg(F.first(F.struct("vec", "avg_l", "avg_a", "avg_b")).alias("v")).select("content", "v.*"))
+    left = met.where("bands = 1").select("x", "y", F.lit(0).alias("agreed"))
+    for step in range(len(KEPT)):
+        sig = cut(single.select("id", "vec").mapInArrow(_signatures(step), "id bigint, sig binary"))
+        left = left.join(sig.select(F.col("id").alias("x"), F.col("sig").alias("sig_x")), "x").join(sig.select(F.col("id").alias("y"), F.col("sig").alias("sig_y")), "y")
+        left = cut(left.mapInArrow(_prune(step), "x bigint, y bigint, agreed int"))
+    left = sure.unionByName(left.select("x", "y"))
+    named = left.select(F.explode(F.array("x", "y")).alias("id"))
+    wanted = cut(_only_named(single.select("id", "vec", "avg_l", "avg_a", "avg_b"), named))
 
     def side(s: str) -> DataFrame:
-        return wanted.select(F.col("content").alias(s), F.col("vec").alias(f"vec_{s}"), F.col("avg_l").alias(f"l_{s}"), F.col("avg_a").alias(f"a_{s}"), F.col("avg_b").alias(f"b_{s}"))
+        return wanted.select(F.col("id").alias(s), F.col("vec").alias(f"vec_{s}"), F.col("avg_l").alias(f"l_{s}"), F.col("avg_a").alias(f"a_{s}"), F.col("avg_b").alias(f"b_{s}"))
 
     good = cut(left.join(side("x"), "x").join(side("y"), "y").mapInArrow(_verify, "x bigint, y bigint"))
-    member = comparable.select("id", "content")
-    between = good.join(member.select(F.col("content").alias("x"), F.col("id").alias("i")), "x").join(member.select(F.col("content").alias("y"), F.col("id").alias("j")), "y").select("i", "j")
-    copies = member.groupBy("content").agg(F.count("*").alias("n")).where("n > 1").select("content")
-    twins = member.join(copies, "content", "left_semi")
-    within = twins.select("content", F.col("id").alias("i")).join(twins.select("content", F.col("id").alias("j")), "content").where("i < j").select("i", "j")
+    classes = copies.unionByName(copies.select(F.col("rep").alias("id"), "rep").distinct())
+    x_all = good.join(classes.select(F.col("rep").alias("x"), F.col("id").alias("i")), "x", "left").select(F.coalesce("i", "x").alias("i"), "y")
+    between = x_all.join(classes.select(F.col("rep").alias("y"), F.col("id").alias("j")), "y", "left").select("i", F.coalesce("j", "y").alias("j"))
+    within = classes.select("rep", F.col("id").alias("i")).join(classes.select("rep", F.col("id").alias("j")), "rep").where("i < j").select("i", "j")
     return between.unionByName(within).select(F.least("i", "j").alias("id_a"), F.greatest("i", "j").alias("id_b"))
