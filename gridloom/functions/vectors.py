@@ -6,6 +6,8 @@ histograms. Null elements make a distance null.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -29,6 +31,11 @@ SMOOTH_EDGE, SMOOTH_VARIANCE, STRONG_EDGE, RICH_ENTROPY = 0.005, 100.0, 0.01, 3.
 CATEGORY_WEIGHTS = {"smooth": (0.25, 0.45, 0.20, 0.05, 0.05), "edge": (0.15, 0.40, 0.25, 0.15, 0.05), "texture": (0.15, 0.40, 0.20, 0.05, 0.20), "normal": (0.20, 0.45, 0.25, 0.05, 0.05)}
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with value computed once: named in a lambda it would otherwise be computed for every element."""
+    return F.transform(F.array(value), body)[0]
+
+
 def _d(x: Column) -> Column:
     return x.cast("double")
 
@@ -52,6 +59,10 @@ def _cell_square(a: Column, b: Column, i: Column) -> Column:
 
 def grid_distance(a: Column, b: Column, squared: bool = False) -> Column:
     """Weighted mean cell distance of two 192-value grids / 100; `squared` leaves out the square root."""
+    return let(a, lambda a: let(b, lambda b: _grid_distance(a, b, squared)))
+
+
+def _grid_distance(a: Column, b: Column, squared: bool = False) -> Column:
     weights = F.array(*[F.lit(w) for w in CELL_WEIGHTS])
     term = (lambda i: _cell_square(a, b, i) * weights[i]) if squared else (lambda i: F.sqrt(_cell_square(a, b, i)) * weights[i])
     good = (F.size(a) == 192) & (F.size(b) == 192)
@@ -60,6 +71,10 @@ def grid_distance(a: Column, b: Column, squared: bool = False) -> Column:
 
 def plain_grid_distance(a: Column, b: Column) -> Column:
     """Mean cell distance / 100 of grids of any equal size divisible by three."""
+    return let(a, lambda a: let(b, lambda b: _plain_grid_distance(a, b)))
+
+
+def _plain_grid_distance(a: Column, b: Column) -> Column:
     n = F.size(a) / 3
     good = (F.size(a) == F.size(b)) & (F.size(a) % 3 == 0) & (F.size(a) > 0)
     every = F.transform(F.sequence(F.lit(0), n.cast("int") - 1), lambda i: F.sqrt(_cell_square(a, b, i)))
@@ -68,6 +83,10 @@ def plain_grid_distance(a: Column, b: Column) -> Column:
 
 def cell_contributions(a: Column, b: Column) -> Column:
     """The 64 cell distances of two grids."""
+    return let(a, lambda a: let(b, lambda b: _cell_contributions(a, b)))
+
+
+def _cell_contributions(a: Column, b: Column) -> Column:
     return F.transform(_cells(), lambda i: F.sqrt(_cell_square(a, b, i)))
 
 
@@ -97,17 +116,28 @@ def entropy(histogram: Column) -> Column:
 
 def channel(grid: Column, c: int) -> Column:
     """The 64 values of one channel of a 192-value grid."""
+    return let(grid, lambda grid: _channel(grid, c))
+
+
+def _channel(grid: Column, c: int) -> Column:
     return F.transform(_cells(), lambda i: _d(grid[i * 3 + c]))
 
 
 def variance(values: Column) -> Column:
+    return let(values, lambda values: _variance(values))
+
+
+def _variance(values: Column) -> Column:
     mean = total(values) / F.size(values)
     return total(F.transform(values, lambda v: v * v)) / F.size(values) - mean * mean
 
 
 def halved(grid: Column) -> Column:
     """The 4x4 grid (48 values) of 2x2 block means."""
+    return let(grid, lambda grid: _halved(grid))
+
 
+def _halved(grid: Column) -> Column:
     def at(k: Column) -> Column:
         cell, c = F.floor(k / 3), k % 3
         r, q = F.floor(cell / 4), cell % 4
@@ -119,7 +149,10 @@ def halved(grid: Column) -> Column:
 
 def doubled(grid: Column) -> Column:
     """The 8x8 grid (192 values) of a 4x4 grid, each cell four times."""
+    return let(grid, lambda grid: _doubled(grid))
+
 
+def _doubled(grid: Column) -> Column:
     def at(k: Column) -> Column:
         cell, c = F.floor(k / 3), k % 3
         return grid[((F.floor(cell / 16) * 4 + F.floor((cell % 8) / 2)) * 3 + c).cast("int")]
@@ -129,6 +162,10 @@ def doubled(grid: Column) -> Column:
 
 def pattern_codes(plane: Column, width: int = 8, height: int = 8) -> Column:
     """Local binary pattern of every inner pixel: eight neighbours at least as bright as the centre, from the top left clockwise."""
+    return let(plane, lambda plane: _pattern_codes(plane, width, height))
+
+
+def _pattern_codes(plane: Column, width: int = 8, height: int = 8) -> Column:
     around = (-width - 1, -width, -width + 1, 1, width + 1, width, width - 1, -1)
     inner = F.transform(F.sequence(F.lit(0), F.lit((width - 2) * (height - 2) - 1)), lambda k: ((F.floor(k / (width - 2)) + 1) * width + k % (width - 2) + 1).cast("int"))
 
@@ -142,12 +179,20 @@ def pattern_codes(plane: Column, width: int = 8, height: int = 8) -> Column:
 
 
 def pattern_histogram(codes: Column) -> Column:
+    return let(codes, lambda codes: _pattern_histogram(codes))
+
+
+def _pattern_histogram(codes: Column) -> Column:
     n = F.size(codes)
     return F.transform(F.sequence(F.lit(0), F.lit(255)), lambda c: F.size(F.filter(codes, lambda x: x == c)) / n)
 
 
 def pattern_entropy(codes: Column) -> Column:
     """Entropy of the pattern histogram without building its 256 bins: sum over the distinct codes."""
+    return let(codes, lambda codes: _pattern_entropy(codes))
+
+
+def _pattern_entropy(codes: Column) -> Column:
     n = F.size(codes)
     share = F.transform(F.array_distinct(codes), lambda c: F.size(F.filter(codes, lambda x: x == c)) / n)
     return entropy(share)
@@ -155,6 +200,10 @@ def pattern_entropy(codes: Column) -> Column:
 
 def gradient_density(plane: Column, limit: float = 30.0, width: int = 8, height: int = 8) -> Column:
     """Share of all pixels whose differences to the left and upper pixel sum to more than `limit`."""
+    return let(plane, lambda plane: _gradient_density(plane, limit, width, height))
+
+
+def _gradient_density(plane: Column, limit: float = 30.0, width: int = 8, height: int = 8) -> Column:
     inner = F.filter(F.sequence(F.lit(0), F.lit(width * height - 1)), lambda i: (i % width > 0) & (i >= width))
     strong = F.filter(inner, lambda i: F.abs(plane[i] - plane[i - 1]) + F.abs(plane[i] - plane[i - width]) > limit)
     return F.size(strong) / (width * height)

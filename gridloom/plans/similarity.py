@@ -73,14 +73,14 @@ def knn_soft_deleted(spark, d):
     return rounded(nearest.knn(_rows(spark, d).withColumn("gone", F.col("id") % 7 == 0), _asked(spark, d), K, deleted="gone"))
 
 
-@query(f"SELECT a.vec_id AS q, b.vec_id AS id, round({_L2}, 6) AS distance FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id % 20 = 0 AND {_L2} <= 0.8")
+@query(f"SELECT a.vec_id AS q, b.vec_id AS id, round({_L2}, 6) AS distance FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id % 20 = 0 AND {_L2} <= 1.2")
 def knn_epsilon(spark, d):
-    return rounded(nearest.within(_rows(spark, d), _asked(spark, d), 0.8))
+    return rounded(nearest.within(_rows(spark, d), _asked(spark, d), 1.2))
 
 
-@query(_knn_sql(_L2, f"{_L2} <= 0.8").replace("CAST(rank AS INT) AS rank, ", ""))
+@query(_knn_sql(_L2, f"{_L2} <= 1.2").replace("CAST(rank AS INT) AS rank, ", ""))
 def knn_epsilon_capped(spark, d):
-    return rounded(nearest.within(_rows(spark, d), _asked(spark, d), 0.8, most=K))
+    return rounded(nearest.within(_rows(spark, d), _asked(spark, d), 1.2, most=K))
 
 
 @query(
@@ -117,6 +117,7 @@ def knn_cells_recall(spark, d):
 
 # --- grids of images ----------------------------------------------------------------------------------------------------
 
+_GOOD = "len(g) = 192 AND list_min(g) >= 0 AND list_max(g) <= 255"
 _W = "[" + ", ".join(str(w) + "::DOUBLE" for w in v.CELL_WEIGHTS) + "]"
 _SQ = "((x.g[3*i+1] - y.g[3*i+1])**2 + (x.g[3*i+2] - y.g[3*i+2])**2 + (x.g[3*i+3] - y.g[3*i+3])**2)"
 _IMG = "img AS (SELECT id, file_hash, avg_l, avg_a, avg_b, edge_density, use_count, CAST(grid4x4 AS DOUBLE[]) AS g FROM images)"
@@ -126,6 +127,11 @@ def _images(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "images").select("id", "file_hash", "avg_l", "avg_a", "avg_b", "edge_density", "use_count", F.col("grid4x4").alias("g"))
 
 
+def _good() -> F.Column:
+    """Whole grids of possible values."""
+    return (F.size("g") == 192) & (F.array_min("g") >= 0) & (F.array_max("g") <= 255)
+
+
 def _copies(spark: SparkSession, d: str) -> DataFrame:
     """Every image beside the first of its stored hash."""
     images = _images(spark, d).where("file_hash IS NOT NULL")
@@ -173,8 +179,8 @@ def grid_cell_contribution(spark, d):
 
 
 _PLANE = "list_transform(range(64), lambda i: g[3*i+1])"
-_TEX = f"""{_IMG}, p AS (SELECT id, edge_density, {_PLANE} AS p FROM img WHERE len(g) = 192),
-codes AS (SELECT id, edge_density, p, list_transform(range(36), lambda k: list_sum(list_transform([[-9,1],[-8,2],[-7,4],[1,8],[9,16],[8,32],[7,64],[-1,128]], lambda s: CASE WHEN p[(k//6+1)*8 + k%6 + 2 + s[1]] >= p[(k//6+1)*8 + k%6 + 2] THEN s[2] ELSE 0 END))) AS codes FROM p),
+_TEX = f"""{_IMG}, p AS MATERIALIZED (SELECT id, edge_density, {_PLANE} AS p FROM img WHERE {_GOOD}),
+codes AS MATERIALIZED (SELECT id, edge_density, p, list_transform(range(36), lambda k: list_sum(list_transform([[-9,1],[-8,2],[-7,4],[1,8],[9,16],[8,32],[7,64],[-1,128]], lambda s: CASE WHEN p[(k//6+1)*8 + k%6 + 2 + s[1]] >= p[(k//6+1)*8 + k%6 + 2] THEN s[2] ELSE 0 END))) AS codes FROM p),
 t AS (SELECT id, edge_density, list_sum(list_transform(p, lambda v: v*v)) / 64 - (list_sum(p) / 64)**2 AS l_variance,
   list_sum(list_transform(list_distinct(codes), lambda c: -(len(list_filter(codes, lambda q: q = c)) / 36.0::double) * log2(len(list_filter(codes, lambda q: q = c)) / 36.0::double))) AS texture,
   len(list_filter(range(64), lambda i: i % 8 > 0 AND i >= 8 AND abs(p[i+1] - p[i]) + abs(p[i+1] - p[i-7]) > 30)) / 64.0::double AS gradient, list_sum(codes) AS code_sum FROM codes)"""
@@ -182,7 +188,7 @@ _CAT = "CASE WHEN edge_density < 0.005 AND l_variance < 100 THEN 'smooth' {0} WH
 
 
 def _textures(spark: SparkSession, d: str) -> DataFrame:
-    plane = _images(spark, d).where(F.size("g") == 192).select("id", "edge_density", v.channel(F.col("g"), 0).alias("p"))
+    plane = _images(spark, d).where(_good()).select("id", "edge_density", v.channel(F.col("g"), 0).alias("p"))
     plane = plane.select("*", v.pattern_codes(F.col("p")).alias("codes"))
     return plane.select("id", "edge_density", v.variance(F.col("p")).alias("l_variance"), v.pattern_entropy(F.col("codes")).alias("texture"), v.gradient_density(F.col("p")).alias("gradient"), F.aggregate("codes", F.lit(0), lambda s, c: s + c).alias("code_sum"))
 
@@ -219,58 +225,59 @@ def adaptive_percentiles(spark, d):
 _HALF = "list_transform(range(48), lambda k: (g[((k//12)*16 + ((k//3)%4)*2)*3 + k%3 + 1] + g[((k//12)*16 + ((k//3)%4)*2)*3 + k%3 + 4] + g[((k//12)*16 + ((k//3)%4)*2)*3 + k%3 + 25] + g[((k//12)*16 + ((k//3)%4)*2)*3 + k%3 + 28]) / 4)"
 
 
-@query(f"WITH {_IMG}, h AS (SELECT id, g, {_HALF} AS h FROM img WHERE len(g) = 192) SELECT id, round(h[1], 4) AS first, round(h[48], 4) AS last, round(list_sum(list_transform(range(48), lambda k: h[k+1] * (k+1))), 3) AS check_sum FROM h")
+@query(f"WITH {_IMG}, h AS MATERIALIZED (SELECT id, g, {_HALF} AS h FROM img WHERE {_GOOD}) SELECT id, round(h[1], 4) AS first, round(h[48], 4) AS last, round(list_sum(list_transform(range(48), lambda k: h[k+1] * (k+1))), 3) AS check_sum FROM h")
 def grid_downsample(spark, d):
-    h = _images(spark, d).where(F.size("g") == 192).select("id", v.halved(F.col("g")).alias("h"))
+    h = _images(spark, d).where(_good()).select("id", v.halved(F.col("g")).alias("h"))
     check = v.total(F.transform("h", lambda x, i: x * (i + 1)))
     return h.select("id", F.round(F.col("h")[0], 4).alias("first"), F.round(F.col("h")[47], 4).alias("last"), F.round(check, 3).alias("check_sum"))
 
 
 @query(
-    f"""WITH {_IMG}, h AS (SELECT id, {_HALF} AS h FROM img WHERE len(g) = 192),
-u AS (SELECT id, list_transform(range(192), lambda k: h[((k//48)*4 + ((k//3)%8)//2)*3 + k%3 + 1]) AS u FROM h)
+    f"""WITH {_IMG}, h AS MATERIALIZED (SELECT id, {_HALF} AS h FROM img WHERE {_GOOD}),
+u AS MATERIALIZED (SELECT id, list_transform(range(192), lambda k: h[((k//48)*4 + ((k//3)%8)//2)*3 + k%3 + 1]) AS u FROM h)
 SELECT id, len(u) AS n, round(u[7], 4) AS seventh, round(list_sum(list_transform(range(192), lambda k: u[k+1] * (k+1))), 3) AS check_sum FROM u"""
 )
 def grid_upsample(spark, d):
-    u = _images(spark, d).where(F.size("g") == 192).select("id", v.doubled(v.halved(F.col("g"))).alias("u"))
+    u = _images(spark, d).where(_good()).select("id", v.doubled(v.halved(F.col("g"))).alias("u"))
     check = v.total(F.transform("u", lambda x, i: x * (i + 1)))
     return u.select("id", F.size("u").cast("bigint").alias("n"), F.round(F.col("u")[6], 4).alias("seventh"), F.round(check, 3).alias("check_sum"))
 
 
 @query(
-    f"""WITH {_TEX}, hist AS (SELECT id, codes, list_transform(range(256), lambda b: len(list_filter(codes, lambda q: q = b)) / 36.0::double) AS h FROM codes)
+    f"""WITH {_TEX}, hist AS MATERIALIZED (SELECT id, codes, list_transform(range(256), lambda b: len(list_filter(codes, lambda q: q = b)) / 36.0::double) AS h FROM codes)
 SELECT id, round(list_sum(h), 6) AS whole, round(h[256], 6) AS all_bright, round(h[1], 6) AS all_dark, round(list_sum(list_transform(h, lambda v: abs(v - 1.0 / 256))) / 2, 6) AS from_flat FROM hist"""
 )
 def pattern_histogram(spark, d):
     """256-bin pattern histogram of every L plane, and its distance from a flat one."""
-    plane = _images(spark, d).where(F.size("g") == 192).select("id", v.pattern_histogram(v.pattern_codes(v.channel(F.col("g"), 0))).alias("h"))
+    plane = _images(spark, d).where(_good()).select("id", v.pattern_histogram(v.pattern_codes(v.channel(F.col("g"), 0))).alias("h"))
     flat = F.array_repeat(F.lit(1 / 256), 256)
-    return rounded(plane.select("id", v.total(F.col("h")).alias("whole"), F.col("h")[255].alias("all_bright"), F.col("h")[0].alias("all_dark"), v.histogram_distance(F.col("h"), flat).alias("from_flat")))
+    made = v.let(F.col("h"), lambda h: F.struct(v.total(h).alias("whole"), h[255].alias("all_bright"), h[0].alias("all_dark"), v.histogram_distance(h, flat).alias("from_flat")))
+    return rounded(plane.select("id", made.alias("m")).select("id", "m.*"))
 
 
-@query(f"WITH {_IMG}, p AS (SELECT id, {_PLANE} AS p FROM img WHERE len(g) = 192) SELECT id, round(list_sum(list_transform(p, lambda v: (v - 128)**2)) / (64 * 65025.0), 6) AS tiny FROM p")
+@query(f"WITH {_IMG}, p AS (SELECT id, {_PLANE} AS p FROM img WHERE {_GOOD}) SELECT id, round(list_sum(list_transform(p, lambda v: (v - 128)**2)) / (64 * 65025.0), 6) AS tiny FROM p")
 def tiny_mse(spark, d):
     """Error of every L plane, enlarged to 16x16, against mid grey."""
-    plane = _images(spark, d).where(F.size("g") == 192).select("id", v.channel(F.col("g"), 0).alias("p"))
-    tiny = F.transform(F.sequence(F.lit(0), F.lit(255)), lambda i: F.col("p")[(F.floor(i / 32) * 8 + F.floor((i % 16) / 2)).cast("int")])
+    plane = _images(spark, d).where(_good()).select("id", v.channel(F.col("g"), 0).alias("p"))
+    tiny = v.let(F.col("p"), lambda p: F.transform(F.sequence(F.lit(0), F.lit(255)), lambda i: p[(F.floor(i / 32) * 8 + F.floor((i % 16) / 2)).cast("int")]))
     return rounded(plane.select("id", v.tiny_error(tiny, F.array_repeat(F.lit(128.0), 256)).alias("tiny")))
 
 
 # --- two-stage matching --------------------------------------------------------------------------------------------------
 
 _VEC = "list_concat([avg_l / 255, avg_a / 255, avg_b / 255], list_transform(g, lambda x: x / 255), [edge_density])"
-_MATCH = f"""{_IMG}, lib AS (SELECT *, {_VEC} AS v FROM img WHERE len(g) = 192 AND avg_l IS NOT NULL AND avg_a IS NOT NULL AND avg_b IS NOT NULL AND edge_density IS NOT NULL),
+_MATCH = f"""{_IMG}, lib AS MATERIALIZED (SELECT *, {_VEC} AS v FROM img WHERE {_GOOD} AND avg_l IS NOT NULL AND avg_a IS NOT NULL AND avg_b IS NOT NULL AND edge_density IS NOT NULL),
 t AS (SELECT p.probe_no AS tile, l.* FROM knn_probes p JOIN lib l ON l.id = p.image_id),
 near AS (SELECT t.tile, l.id AS image_id, row_number() OVER (PARTITION BY t.tile ORDER BY list_distance(t.v, l.v), l.id) AS ann_rank FROM t JOIN lib l ON l.id <> t.id),
-c AS (SELECT n.tile, n.image_id, n.ann_rank, l.use_count, sqrt((t.avg_l - l.avg_l)**2 + (t.avg_a - l.avg_a)**2 + (t.avg_b - l.avg_b)**2) / 100 AS lab, abs(t.edge_density - l.edge_density) AS edge, t.g AS g, l.g AS yg
+c AS MATERIALIZED (SELECT n.tile, n.image_id, n.ann_rank, l.use_count, sqrt((t.avg_l - l.avg_l)**2 + (t.avg_a - l.avg_a)**2 + (t.avg_b - l.avg_b)**2) / 100 AS lab, abs(t.edge_density - l.edge_density) AS edge, t.g AS g, l.g AS yg
   FROM near n JOIN t ON t.tile = n.tile JOIN lib l ON l.id = n.image_id WHERE n.ann_rank <= {CANDIDATES}),
-w AS (SELECT *, list_sum(list_transform(range(64), lambda i: sqrt({_terms(_SQ)}) * {_W}[i+1])) / 6400 AS grid FROM c),
+w AS MATERIALIZED (SELECT *, list_sum(list_transform(range(64), lambda i: sqrt({_terms(_SQ)}) * {_W}[i+1])) / 6400 AS grid FROM c),
 s AS (SELECT tile, image_id, ann_rank, (0.20 * lab + 0.45 * grid + 0.05 * edge) / 0.70 + coalesce(use_count, 0) * 0.01 AS score, lab, grid, edge, g, yg FROM w),
 r AS (SELECT *, row_number() OVER (PARTITION BY tile ORDER BY score, image_id) AS rank, lead(score) OVER (PARTITION BY tile ORDER BY score, image_id) - score AS gap FROM s)"""
 
 
 def _library(spark: SparkSession, d: str) -> DataFrame:
-    lib = _images(spark, d).where((F.size("g") == 192) & F.col("avg_l").isNotNull() & F.col("avg_a").isNotNull() & F.col("avg_b").isNotNull() & F.col("edge_density").isNotNull())
+    lib = _images(spark, d).where(_good() & F.col("avg_l").isNotNull() & F.col("avg_a").isNotNull() & F.col("avg_b").isNotNull() & F.col("edge_density").isNotNull())
     vec = F.concat(F.array(F.col("avg_l") / 255, F.col("avg_a") / 255, F.col("avg_b") / 255), F.transform("g", lambda x: x.cast("double") / 255), F.array("edge_density"))
     return lib.withColumn("vec", vec)
 
@@ -316,7 +323,7 @@ _H = "(list_sum(list_transform(range(16), lambda k: sqrt((x[3*k+1] - y[3*k+1])**
 
 
 @query(
-    f"""WITH {_MATCH}, h AS (SELECT tile, image_id, {_HALF} AS x, {_HALF.replace('g[', 'yg[')} AS y, list_sum(list_transform(range(64), lambda i: sqrt({_terms(_SQ)}))) / 6400 AS fine FROM s),
+    f"""WITH {_MATCH}, h AS MATERIALIZED (SELECT tile, image_id, {_HALF} AS x, {_HALF.replace('g[', 'yg[')} AS y, list_sum(list_transform(range(64), lambda i: sqrt({_terms(_SQ)}))) / 6400 AS fine FROM s),
 b AS (SELECT tile, arg_min(image_id, row(round(fine, 9), image_id)) AS f, arg_min(image_id, row(round({_H}, 9), image_id)) AS c FROM h GROUP BY tile)
 SELECT count(*) AS tiles, round(avg(CASE WHEN f <> c THEN 1.0::double ELSE 0 END), 6) AS differ FROM b"""
 )
