@@ -9,7 +9,7 @@ from gridloom.functions import vectors as v
 from gridloom.operators import nearest, selector
 from gridloom.operators.analysis import index_percentiles
 from gridloom.plans.tables import rounded
-from gridloom.session import cut, table
+from gridloom.session import cut, spread, table
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -31,7 +31,7 @@ def query(sql: str | None = None):
 
 
 def _rows(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"), F.col("label").cast("int").alias("label")).repartition(spark.sparkContext.defaultParallelism)
+    return spread(table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"), F.col("label").cast("int").alias("label")))
 
 
 def _asked(spark: SparkSession, d: str) -> DataFrame:
@@ -124,7 +124,7 @@ _IMG = "img AS (SELECT id, file_hash, avg_l, avg_a, avg_b, edge_density, use_cou
 
 
 def _images(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "images").select("id", "file_hash", "avg_l", "avg_a", "avg_b", "edge_density", "use_count", F.col("grid4x4").alias("g"))
+    return spread(table(spark, d, "images").select("id", "file_hash", "avg_l", "avg_a", "avg_b", "edge_density", "use_count", F.col("grid4x4").alias("g")))
 
 
 def _good() -> F.Column:
@@ -279,7 +279,7 @@ r AS (SELECT *, row_number() OVER (PARTITION BY tile ORDER BY score, image_id) A
 def _library(spark: SparkSession, d: str) -> DataFrame:
     lib = _images(spark, d).where(_good() & F.col("avg_l").isNotNull() & F.col("avg_a").isNotNull() & F.col("avg_b").isNotNull() & F.col("edge_density").isNotNull())
     vec = F.concat(F.array(F.col("avg_l") / 255, F.col("avg_a") / 255, F.col("avg_b") / 255), F.transform("g", lambda x: x.cast("double") / 255), F.array("edge_density"))
-    return lib.withColumn("vec", vec)
+    return cut(lib.withColumn("vec", vec))
 
 
 def _candidates(spark: SparkSession, d: str) -> DataFrame:
