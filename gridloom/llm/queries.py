@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from gridloom.functions.content import hash_key, hash_value, location
 from gridloom.llm import clusters, history, imaging, mixing, neardup, neighbours, packing, subset, survivors, tokens, visual
-from gridloom.session import cut, table
+from gridloom.session import cut, spread, table
 
 #: Production parameters.
 SUBSET_SHARE = 0.05
@@ -56,7 +56,7 @@ def p1_best_records(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _comparable(spark: SparkSession, folder: str) -> DataFrame:
-    return imaging.comparable_images(table(spark, folder, "images"))
+    return imaging.comparable_images(spread(table(spark, folder, "images")))
 
 
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -120,7 +120,7 @@ def p7_neighbours(spark: SparkSession, folder: str) -> DataFrame:
 
 def _sized(spark: SparkSession, folder: str) -> DataFrame:
     """The documents' sizes in tokens, encoded once and written."""
-    return cut(tokens.with_token_count(table(spark, folder, "documents").select("doc_id", "source", "text"), "text"))
+    return cut(tokens.with_token_count(spread(table(spark, folder, "documents").select("doc_id", "source", "text")), "text"))
 
 
 def p8_packs(spark: SparkSession, folder: str) -> DataFrame:
@@ -142,7 +142,7 @@ def p9_shares(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p10_found(spark: SparkSession, folder: str) -> DataFrame:
-    return visual.equal_looking_pairs(table(spark, folder, "documents"), "doc_id", "text")
+    return visual.equal_looking_pairs(spread(table(spark, folder, "documents").select("doc_id", "text")), "doc_id", "text")
 
 
 def p10_canonical(spark: SparkSession, folder: str) -> DataFrame:
@@ -158,4 +158,39 @@ QUERIES = {
         p8_packs, p8_report, p9_mixture, p9_shares, p10_found, p10_canonical,
     )
 }
-SQL: dict[str, str] = {}
+# --- SQL ----------------------------------------------------------------------------------------------------------------
+
+_NUMBER = """CASE WHEN t ~ '^[+-]?0x[0-9a-f]+$' THEN CAST(('0x' || lpad(regexp_replace(t, '^[+-]?0x0*', ''), 16, '0'))::UBIGINT AS HUGEINT)
+  WHEN t ~ '^[+-]?[0-9]+$' THEN try_cast(regexp_replace(t, '^[+-]', '') AS HUGEINT) WHEN t ~ '^[+-]?[0-9a-f]*[a-f][0-9a-f]*$' THEN CAST(('0x' || regexp_replace(t, '^[+-]', ''))::UBIGINT AS HUGEINT) END"""
+
+
+def _value(table_name: str, columns: str) -> str:
+    return f"""(SELECT {columns}, CASE WHEN t LIKE '-%' THEN CASE WHEN n = 0 THEN 0 ELSE 18446744073709551616::HUGEINT - n END ELSE n END AS hv
+  FROM (SELECT *, {_NUMBER} AS n FROM (SELECT *, lower(regexp_replace(file_hash, '\\s', '', 'g')) AS t FROM {table_name})))"""
+
+
+_VALID = "len(grid4x4) = 192 AND list_min(grid4x4) >= 0 AND list_max(grid4x4) <= 255 AND len(list_filter(grid4x4, lambda x: x IS NULL)) = 0 AND avg_l IS NOT NULL AND avg_a IS NOT NULL AND avg_b IS NOT NULL AND saturation IS NOT NULL AND edge_density IS NOT NULL"
+_COMPARABLE = f"""v AS (SELECT * FROM {_value('images', 'id, avg_l, avg_a, avg_b, saturation, edge_density, grid4x4')} WHERE {_VALID}),
+comp AS MATERIALIZED (SELECT *, CAST(grid4x4 AS DOUBLE[]) AS g FROM v WHERE hv IS NULL OR id IN (SELECT min(id) FROM v WHERE hv IS NOT NULL GROUP BY hv))"""
+_SLASHED = r"regexp_replace(regexp_replace(regexp_replace(file_path, '^\s+|\s+$', '', 'g'), '\\', '/', 'g'), '/+', '/', 'g')"
+_PLACE = rf"""lower(nfc_normalize(list_aggregate(list_filter(string_split(regexp_replace({_SLASHED}, '(/|^)[^/]+/\.\.(/|$)', '\1', 'g'), '/'), lambda s: s <> '' AND s <> '.'), 'string_agg', '/')))"""
+_PLACED = f"(CASE WHEN {_SLASHED} LIKE '/%' THEN '/' ELSE '' END || {_PLACE})"
+
+SQL: dict[str, str] = {
+    "p1_found": f"""WITH r AS (SELECT hv, id, row_number() OVER (PARTITION BY hv ORDER BY CASE WHEN feature_version BETWEEN 1 AND 5 THEN feature_version ELSE 0 END DESC, CASE WHEN len(grid4x4) = 192 THEN 0 ELSE 1 END,
+    nullif(created_at, TIMESTAMP '1970-01-01') DESC NULLS LAST, greatest(coalesce(use_count, 0), 0) DESC, id) AS r, count(*) OVER (PARTITION BY hv) AS n
+  FROM {_value('images', 'id, feature_version, grid4x4, created_at, use_count')} WHERE hv IS NOT NULL)
+SELECT CAST(hv AS VARCHAR) AS group_hash, id AS keep_id FROM r WHERE r = 1 AND n > 1""",
+    "p3_found": f"""WITH {_COMPARABLE}, near AS (SELECT a.id AS id_a, b.id AS id_b, a.g AS x, b.g AS y FROM comp a JOIN comp b ON a.id < b.id AND abs(a.avg_l - b.avg_l) <= 8 AND abs(a.avg_a - b.avg_a) <= 8 AND abs(a.avg_b - b.avg_b) <= 8)
+SELECT id_a, id_b FROM near WHERE greatest(
+  list_sum(list_transform(range(64), lambda i: CASE WHEN (x[3*i+1] - y[3*i+1])**2 + (x[3*i+2] - y[3*i+2])**2 + (x[3*i+3] - y[3*i+3])**2 <= 25 THEN 1 ELSE 0 END)),
+  list_sum(list_transform(range(64), lambda i: CASE WHEN (x[3*i+1] - y[3*(i - i%8 + 7 - i%8)+1])**2 + (x[3*i+2] - y[3*(i - i%8 + 7 - i%8)+2])**2 + (x[3*i+3] - y[3*(i - i%8 + 7 - i%8)+3])**2 <= 25 THEN 1 ELSE 0 END))) >= 58""",
+    "p4_found": f"""WITH i AS (SELECT *, {_PLACED} AS place, row_number() OVER (ORDER BY batch_no NULLS LAST, incoming_id) AS pos FROM {_value('incoming', 'incoming_id, batch_no, file_path')}),
+l AS (SELECT hv, {_PLACED} AS place FROM {_value('images', 'file_path')}),
+h AS (SELECT hv, min(pos) AS first FROM i WHERE hv IS NOT NULL GROUP BY hv), p AS (SELECT place, min(pos) AS first FROM i WHERE place <> '' GROUP BY place)
+SELECT incoming_id FROM i LEFT JOIN h USING (hv) LEFT JOIN p USING (place)
+WHERE coalesce(h.first < pos, false) OR coalesce(p.first < pos, false) OR hv IN (SELECT hv FROM l WHERE hv IS NOT NULL) OR place IN (SELECT place FROM l WHERE place <> '')""",
+    "p7_found": f"""WITH {_COMPARABLE}, f AS MATERIALIZED (SELECT id, list_concat([avg_l / 255], list_transform(g, lambda x: x / 255), [edge_density]) AS x FROM comp),
+n AS (SELECT p.probe_no, b.id, row_number() OVER (PARTITION BY p.probe_no ORDER BY list_distance(a.x, b.x), b.id) AS r FROM knn_probes p JOIN f a ON a.id = p.image_id JOIN f b ON b.id <> a.id)
+SELECT probe_no, id AS neighbour_id FROM n WHERE r <= 10""",
+}
