@@ -69,7 +69,7 @@ def _tables() -> tuple[np.ndarray, ...]:
             start[cp], length[cp] = SIZE + len(pool), len(out)
             pool += map(ord, out)
         whole = unicodedata.normalize("NFC", out)
-        if len(whole) == 1 and not ccc[cp]:
+        if len(whole) == 1 and not unicodedata.combining(whole) and not 0x1160 <= ord(whole) < 0x1200:
             single[cp] = ord(whole)
         else:
             special[cp] = True
