@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -113,3 +115,51 @@ def tile_grid(spark, width: int, height: int, tile_w: int, tile_h: int) -> DataF
     nx, ny = -(-width // tile_w), -(-height // tile_h)
     t = spark.range(nx * ny).select(F.col("id").alias("tile_idx"), F.floor(F.col("id") / nx).alias("ty"), (F.col("id") % nx).alias("tx"))
     return t.select("tile_idx", "ty", "tx", (F.col("tx") * tile_w).alias("x0"), (F.col("ty") * tile_h).alias("y0"), F.greatest((F.col("tx") + 1) * tile_w - width, F.lit(0)).alias("pad_x"), F.greatest((F.col("ty") + 1) * tile_h - height, F.lit(0)).alias("pad_y"))
+
+
+def hysteresis_edges(plane: np.ndarray, low: float = 60.0, high: float = 120.0) -> np.ndarray:
+    """Edge map of a grey plane: 3x3 gradients, thinned along their direction, kept where strong or joined to strong ones."""
+    p = np.pad(plane.astype(float), 1, mode="reflect") if min(plane.shape) > 1 else np.pad(plane.astype(float), 1, mode="edge")
+    down = p[:-2] + 2 * p[1:-1] + p[2:]
+    across = p[:, :-2] + 2 * p[:, 1:-1] + p[:, 2:]
+    gx, gy = down[:, 2:] - down[:, :-2], across[2:] - across[:-2]
+    size = np.abs(gx) + np.abs(gy)
+    around = np.pad(size, 1)
+    h, w = size.shape
+
+    def at(dy: int, dx: int) -> np.ndarray:
+        return around[1 + dy : 1 + dy + h, 1 + dx : 1 + dx + w]
+
+    slope = np.tan(np.pi / 8)
+    flat, steep = np.abs(gy) < slope * np.abs(gx), np.abs(gx) < slope * np.abs(gy)
+    rising = gx * gy >= 0
+    before = np.select([flat, steep, rising], [at(0, -1), at(-1, 0), at(-1, -1)], at(-1, 1))
+    after = np.select([flat, steep, rising], [at(0, 1), at(1, 0), at(1, 1)], at(1, -1))
+    thin = (size > before) & (size >= after) & (size > low)
+    edge = thin & (size > high)
+    while True:
+        grown = np.pad(edge, 1)
+        near = np.zeros_like(edge)
+        for dy in range(3):
+            for dx in range(3):
+                near |= grown[dy : dy + h, dx : dx + w]
+        new = thin & near
+        if (new == edge).all():
+            return edge
+        edge = new
+
+
+def hysteresis_density(pixels: DataFrame) -> DataFrame:
+    """(image_id, edge_density): share of edge pixels; a task holds one picture's grey plane at a time."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["y", "x"])
+        plane = pdf["v"].to_numpy().reshape(int(pdf["y"].max()) + 1, -1)
+        return pd.DataFrame({"image_id": pdf["image_id"].iloc[:1], "edge_density": [hysteresis_edges(np.round(plane)).mean()]})
+
+    return pixels.select("image_id", "y", "x", grey(F.col("r"), F.col("g"), F.col("b")).alias("v")).groupBy("image_id").applyInPandas(run, "image_id int, edge_density double")
+
+
+def jittered(l: Column, strength: float, seed: int, *keys: Column) -> Column:
+    """L scaled by a factor of 1 - 0.3 x strength to 1 + 0.7 x strength that depends on the seed and keys only."""
+    return l * (1 + (F.pmod(F.xxhash64(F.lit(seed), *keys), F.lit(1001)) - 300) / 1000.0 * strength)

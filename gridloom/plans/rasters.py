@@ -120,3 +120,8 @@ def stream_counters(spark, d):
     schema = table(spark, d, "winners").schema
     source = spark.readStream.schema(schema).parquet(f"{d}/winners.parquet*").select("run_id", "category", F.col("loaded_at").alias("t"))
     return running_counts(spark, source, ["run_id", "category"])
+
+
+@query()
+def raster_canny(spark, d):
+    return rounded(px.hysteresis_density(raster(spark)))

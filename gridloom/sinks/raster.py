@@ -11,6 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gridloom.functions.output import BIG_TIFF_MIB
 from gridloom.operators.pixels import levels, pyramid
 
 
@@ -82,3 +83,58 @@ def write_pyramid(pixels: DataFrame, folder: str, name: str, width: int, height:
 def level_size(width: int, height: int, level: int) -> tuple[int, int]:
     scale = 1 << (levels(width, height) - level)
     return -(-width // scale), -(-height // scale)
+
+
+def tiff_stream(rows: Iterable[bytes], width: int, height: int, big: bool | None = None) -> Iterator[bytes]:
+    """Uncompressed RGB TIFF in one-row strips, one row in memory at a time; BigTIFF above its limit or if `big`."""
+    line = 3 * width
+    big = width * height * 3 / 2**20 > BIG_TIFF_MIB if big is None else big
+    word, size = ("Q", 8) if big else ("I", 4)
+    head = struct.pack("<2sHHHQ", b"II", 43, 8, 0, 16) if big else struct.pack("<2sHI", b"II", 42, 8)
+    kind = 16 if big else 4
+    tags = [(256, 4, 1, width), (257, 4, 1, height), (258, 3, 3, None), (259, 3, 1, 1), (262, 3, 1, 2), (273, kind, height, None), (277, 3, 1, 3), (278, 4, 1, 1), (279, 4, height, None), (284, 3, 1, 1)]
+    entry = 20 if big else 12
+    extra = len(head) + (8 if big else 2) + entry * len(tags) + size
+    bits = struct.pack("<HHH", 8, 8, 8)
+    sizes_at = extra + 8
+    strips_at = sizes_at + 4 * height
+    data_at = strips_at + size * height
+    place = {258: extra, 273: strips_at, 279: sizes_at}
+    yield head + struct.pack("<Q" if big else "<H", len(tags))
+    for tag, form, count, value in tags:
+        whole = {3: 2, 4: 4, 16: 8}[form] * count
+        if value is None and whole <= size:
+            field = bits if tag == 258 else struct.pack("<" + word, data_at) if tag == 273 else struct.pack("<I", line)
+        else:
+            field = struct.pack("<" + word, place[tag] if value is None else value)
+        yield struct.pack("<HH" + word, tag, form, count) + field.ljust(size, b"\0")
+    yield struct.pack("<" + word, 0) + bits.ljust(8, b"\0")
+    yield struct.pack("<I", line) * height
+    for start in range(0, height, 65_536):
+        yield b"".join(struct.pack("<" + word, data_at + line * i) for i in range(start, min(height, start + 65_536)))
+    seen = 0
+    for row in rows:
+        if len(row) != line:
+            raise ValueError("row of wrong length")
+        seen += 1
+        yield row
+    if seen != height:
+        raise ValueError("wrong number of rows")
+
+
+def write_tiff(pixels: DataFrame, path: str, width: int, height: int, big: bool | None = None) -> None:
+    """One picture as TIFF, streamed like write_png."""
+    lines = _lines(pixels.withColumn("image_id", F.lit(0))).repartitionByRange("y").sortWithinPartitions("y").select("line")
+    with open(path, "wb") as out:
+        for part in tiff_stream((bytes(r.line) for r in lines.toLocalIterator()), width, height, big):
+            out.write(part)
+
+
+def write_encoded(pixels: DataFrame, path: str, width: int, height: int, fmt: str = "jpg") -> None:
+    """One picture in a format of the JVM's encoders (jpg, bmp, gif, tiff), whole on the driver: for pictures that fit there."""
+    jvm = pixels.sparkSession.sparkContext._jvm
+    lines = _lines(pixels.withColumn("image_id", F.lit(0))).repartitionByRange("y").sortWithinPartitions("y").select("line")
+    png = b"".join(png_stream((bytes(r.line) for r in lines.toLocalIterator()), width, height))
+    picture = jvm.javax.imageio.ImageIO.read(jvm.java.io.ByteArrayInputStream(bytearray(png)))
+    if not jvm.javax.imageio.ImageIO.write(picture, fmt, jvm.java.io.File(path)):
+        raise ValueError(f"no encoder for {fmt}")
