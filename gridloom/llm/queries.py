@@ -176,7 +176,21 @@ _SLASHED = r"regexp_replace(regexp_replace(regexp_replace(file_path, '^\s+|\s+$'
 _PLACE = rf"""lower(nfc_normalize(list_aggregate(list_filter(string_split(regexp_replace({_SLASHED}, '(/|^)[^/]+/\.\.(/|$)', '\1', 'g'), '/'), lambda s: s <> '' AND s <> '.'), 'string_agg', '/')))"""
 _PLACED = f"(CASE WHEN {_SLASHED} LIKE '/%' THEN '/' ELSE '' END || {_PLACE})"
 
+_FORM = (
+    "nfc_normalize(translate(translate(replace(replace(replace(replace(replace(replace(replace(replace(nfc_normalize(translate(regexp_replace(regexp_replace(text, "
+    "'[\\x{00ad}\\x{200b}-\\x{200f}\\x{2060}-\\x{2064}\\x{feff}\\x{fe00}-\\x{fe0f}]', '', 'g'), '[\\x{00a0}\\x{1680}\\x{2000}-\\x{200a}\\x{202f}\\x{205f}\\x{3000}\\t]', ' ', 'g'), "
+    f"'{''.join(map(chr, range(0xFF01, 0xFF5F)))}', '{''.join(map(chr, range(0x21, 0x7F))).replace(chr(39), chr(39) * 2)}')), "
+    "'ﬀ', 'ff'), 'ﬁ', 'fi'), 'ﬂ', 'fl'), 'ﬃ', 'ffi'), 'ﬄ', 'ffl'), 'ﬅ', 'st'), 'ﬆ', 'st'), 'ё', 'ë'), "
+    f"'{''.join(visual.LOOK_ALIKES)}', '{''.join(visual.LOOK_ALIKES.values())}'), 'Ёї', 'Ëï'))"
+)
+
 SQL: dict[str, str] = {
+    "p2_found": f"""WITH RECURSIVE {_COMPARABLE}, links AS MATERIALIZED (SELECT a.id AS u, b.id AS v FROM comp a JOIN comp b ON a.id <> b.id AND abs(a.avg_l - b.avg_l) <= 20 AND abs(a.saturation - b.saturation) <= 30 WHERE list_distance(a.g, b.g) <= 20 * sqrt(192)),
+reach AS (SELECT id AS root, id AS node FROM comp UNION SELECT r.root, l.v FROM reach r JOIN links l ON l.u = r.node),
+k AS (SELECT node, min(root) AS cluster_key FROM reach GROUP BY node)
+SELECT cluster_key, node AS image_id FROM k WHERE cluster_key IN (SELECT cluster_key FROM k GROUP BY cluster_key HAVING count(*) >= 20)""",
+    "p10_found": f"""WITH f AS (SELECT doc_id, text, {_FORM} AS form FROM documents WHERE text IS NOT NULL)
+SELECT a.doc_id AS doc_a, b.doc_id AS doc_b FROM f a JOIN f b ON a.form = b.form AND a.doc_id < b.doc_id AND a.text <> b.text""",
     "p1_found": f"""WITH r AS (SELECT hv, id, row_number() OVER (PARTITION BY hv ORDER BY CASE WHEN feature_version BETWEEN 1 AND 5 THEN feature_version ELSE 0 END DESC, CASE WHEN len(grid4x4) = 192 THEN 0 ELSE 1 END,
     nullif(created_at, TIMESTAMP '1970-01-01') DESC NULLS LAST, greatest(coalesce(use_count, 0), 0) DESC, id) AS r, count(*) OVER (PARTITION BY hv) AS n
   FROM {_value('images', 'id, feature_version, grid4x4, created_at, use_count')} WHERE hv IS NOT NULL)
