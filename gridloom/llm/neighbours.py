@@ -48,6 +48,15 @@ def _encode(x: np.ndarray, mean: np.ndarray, w: np.ndarray) -> np.ndarray:
     return np.packbits(bits, axis=1, bitorder="little").view("<i8")[:, 0]
 
 
+def covered_radius(x: np.ndarray, mean: np.ndarray, w: np.ndarray, radius: int) -> np.ndarray:
+    """For each row, a distance that no row whose code is more than `radius` bits away is nearer than.
+
+    The projection only shortens distances, and where two signs differ the projected values are at least the row's own value
+    apart: so radius + 1 differing bits are at least the radius + 1 smallest values apart."""
+    least = np.sort(((x - mean) @ w) ** 2, axis=1)[:, : radius + 1]
+    return np.sqrt(least.sum(1))
+
+
 def coded(comparable: DataFrame, mean: np.ndarray, w: np.ndarray) -> DataFrame:
     """(id, code) of every comparable image."""
 
@@ -115,22 +124,27 @@ def rerank(comparable: DataFrame, pairs: DataFrame, queries: pa.Table) -> DataFr
     return comparable.select("id", "avg_l", "edge", "vec").join(asked, "id").mapInArrow(run, "q bigint, id bigint, distance double")
 
 
-def scan_block(comparable: DataFrame, queries: pa.Table, k: int) -> DataFrame:
-    """(q, id, distance): each task's k nearest rows of a stated block of queries (broadcast, at most BLOCK), by all rows."""
-    shared = comparable.sparkSession.sparkContext.broadcast((queries.column("q").to_numpy(), queries.column("own").to_numpy(), feature_rows(queries)))
+def scan_block(comparable: DataFrame, queries: pa.Table, k: int, reach: np.ndarray | None = None) -> DataFrame:
+    """(q, id, distance): each task's k nearest rows of a stated block of queries (broadcast, at most BLOCK), by all rows.
+
+    reach: a distance per query within which k rows are known to lie; rows beyond it are left out."""
+    reach = np.full(len(queries), np.inf) if reach is None else reach
+    shared = comparable.sparkSession.sparkContext.broadcast((queries.column("q").to_numpy(), queries.column("own").to_numpy(), feature_rows(queries), reach))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        qs, own, qx = shared.value
-        q32, qn = qx.astype(np.float32), (qx**2).sum(1)
-        best_d = np.full((len(qs), k), np.inf)
-        best_i = np.full((len(qs), k), np.iinfo(np.int64).max)
+        qs, own, qx, reach = shared.value
+        q32, qn = -2 * qx.astype(np.float32), (qx**2).sum(1).astype(np.float32)[:, None]
+        none = np.iinfo(np.int64).max
+        best_d = np.repeat(reach[:, None], k, axis=1)
+        best_i = np.full((len(qs), k), none)
         step = max(64, 4_000_000 // max(len(qs), 1))
         for whole in batches:
             for s in range(0, len(whole), step):
                 b = whole.slice(s, step)
                 ids, x = column(b, "id").to_numpy(), feature_rows(b)
-                rough = qn[:, None] + (x**2).sum(1)[None] - 2 * (q32 @ x.astype(np.float32).T)
-                q, r = np.nonzero(rough <= best_d[:, -1:] ** 2 + 1e-3)
+                rough = q32 @ x.astype(np.float32).T
+                rough += (x**2).sum(1).astype(np.float32)[None]
+                q, r = np.nonzero(rough <= (best_d[:, -1:] ** 2 + 1e-3).astype(np.float32) - qn)
                 keep = ids[r] != own[q]
                 q, r = q[keep], r[keep]
                 if not len(q):
@@ -145,7 +159,7 @@ def scan_block(comparable: DataFrame, queries: pa.Table, k: int) -> DataFrame:
                 start = np.flatnonzero(np.r_[True, all_q[1:] != all_q[:-1]])
                 pick = o[start[:, None] + np.arange(k)]
                 best_d[touched], best_i[touched] = all_d[pick], all_i[pick]
-        q, n = np.nonzero(np.isfinite(best_d))
+        q, n = np.nonzero(best_i < none)
         yield pa.RecordBatch.from_arrays([pa.array(qs[q]), pa.array(best_i[q, n]), pa.array(best_d[q, n])], names=["q", "id", "distance"])
 
     return comparable.select("id", "avg_l", "edge", "vec").mapInArrow(run, "q bigint, id bigint, distance double")
@@ -161,9 +175,11 @@ def nearest_images(comparable: DataFrame, asked: DataFrame, k: int = 10, radius:
 
     A rotation learned from at most SAMPLE rows turns each of the 194-number vectors into a 64-bit code; every row's code is
     indexed by its four 16-bit parts. Each query retrieves all codes within `radius` bits and reranks them by exact distance.
-    Queries with fewer than k codes in reach are answered from all rows, block by block. Null and unknown `own` ids have no
+    That is the answer where the k-th distance is below covered_radius, within which no code can be missed. The other queries
+    are answered from all rows, block by block, within the k-th distance found. So the result is exact at any size. Null and unknown `own` ids have no
     neighbours; repeated q count once. Queries are handled BLOCK at a time; only their vectors are broadcast.
     """
+    spark = comparable.sparkSession
     sample = bounded_sample(comparable, SAMPLE, ["id", "avg_l", "edge", "vec"])
     mean, w = learn_codes(feature_rows(sample))
     codes = cut(coded(comparable, mean, w))
@@ -177,10 +193,14 @@ def nearest_images(comparable: DataFrame, asked: DataFrame, k: int = 10, radius:
         vectors = block.toArrow()
         pairs = within_radius(codes, block.select("q", "own").join(codes.withColumnRenamed("id", "own"), "own"), radius)
         got = cut(_nearest(rerank(comparable, pairs, vectors), k))
-        short = block.select("q").join(got.where(F.col("rank") == k).select("q"), "q", "left_anti")
-        left = set(short.toArrow().column("q").to_pylist())
-        if left:
-            rest = vectors.filter(pa.array([q in left for q in vectors.column("q").to_pylist()]))
-            got = got.join(short, "q", "left_anti").unionByName(_nearest(scan_block(comparable, rest, k), k))
+        last = got.where(F.col("rank") == k).select("q", "distance").toArrow()
+        known = dict(zip(last.column("q").to_pylist(), last.column("distance").to_pylist()))
+        reach = np.array([known.get(q, np.inf) for q in vectors.column("q").to_pylist()])
+        open_ = np.flatnonzero(~(reach < covered_radius(feature_rows(vectors), mean, w, radius) * (1 - 1e-9)))
+        if len(open_):
+            rest = vectors.take(pa.array(open_))
+            scanned = scan_block(comparable, rest, k, reach[open_] * (1 + 1e-9))
+            short = spark.createDataFrame(rest.select(["q"]))
+            got = got.join(short, "q", "left_anti").unionByName(_nearest(scanned, k))
         result = got if result is None else result.unionByName(got)
     return result

@@ -151,6 +151,23 @@ def test_neighbours(comparable, spark):
     assert neighbours.nearest_images(comparable.limit(0), asked, 5).count() == 0
 
 
+def test_neighbours_are_exact_where_codes_are_dense(spark):
+    """Unrelated rows fill the radius of most queries, while a nearest row's code lies beyond it."""
+    rng = np.random.default_rng(8)
+    grids = np.clip(128 + rng.normal(0, 30, (3000, 7)) @ rng.normal(0, 1, (7, 192)) + rng.normal(0, 2, (3000, 192)), 0, 255)
+    packed = imaging.pack(np.rint(grids).astype(np.float32)).to_pylist()
+    rows = spark.createDataFrame([(i, 100.0, 0.5, bytes(v)) for i, v in enumerate(packed)], "id bigint, avg_l double, edge double, vec binary")
+    asked = rows.where("id % 15 = 0").select(F.col("id").alias("q"), F.col("id").alias("own"))
+    x = np.rint(grids) / 255
+    got: dict[int, list] = {}
+    for r in neighbours.nearest_images(rows, asked, 5).orderBy("q", "rank").collect():
+        got.setdefault(r.q, []).append(r.id)
+    for q in range(0, 3000, 15):
+        d = np.sqrt(((x - x[q]) ** 2).sum(1))
+        d[q] = np.inf
+        assert got[q] == np.lexsort((np.arange(3000), d))[:5].tolist()
+
+
 def test_hamming_radius_is_complete(spark):
     rng = np.random.default_rng(3)
     base = rng.integers(-(2**63), 2**63 - 1, 20)
