@@ -12,6 +12,7 @@ from gridloom.session import cut, spread, table
 #: Production parameters.
 SUBSET_SHARE = 0.05
 NEAR_BITS = 3
+NEAR_SHARE = 0.8
 HASH_BITS = 1
 
 
@@ -94,10 +95,10 @@ def p4_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p4_near_places(spark: SparkSession, folder: str) -> DataFrame:
-    """Incoming rows whose location is nearly that of a known one: at most NEAR_BITS differing bits and 80 % of the characters."""
-    alike = 1 - F.levenshtein("text", "old_text") / F.greatest(F.length("text"), F.length("old_text"), F.lit(1)) >= 0.8
+    """Incoming rows whose location is nearly that of a known one: NEAR_SHARE of the characters are kept. Rows within NEAR_BITS
+    differing bits are met first."""
     old = _entries(table(spark, folder, "images")).where("kind = 'place'")
-    known = history.known_rows(old, _incoming_entries(spark, folder).where("kind = 'place'"), NEAR_BITS, alike)
+    known = history.near_rows(old, _incoming_entries(spark, folder).where("kind = 'place'"), NEAR_BITS, NEAR_SHARE)
     return known.groupBy("incoming_id").agg(F.max("in_history").alias("in_history"))
 
 

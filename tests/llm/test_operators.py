@@ -209,6 +209,40 @@ def test_history(spark, tmp_path):
     assert history.known_rows(old, df.limit(0), 1).count() == 0
 
 
+def _edits(a: str, b: str) -> int:
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        before, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            before, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, before + (x != y))
+    return row[-1]
+
+
+@pytest.mark.parametrize("witnesses", [0, 32])
+def test_near_rows_equal_brute_force(spark, monkeypatch, witnesses):
+    monkeypatch.setattr(history, "WITNESSES", witnesses)
+    monkeypatch.setattr(history, "BLOCK", 20)
+    rng = random.Random(4)
+    text = lambda n: "".join(rng.choice("abcdeé/12ü") for _ in range(n))
+    def edited(t: str) -> str:
+        for _ in range(rng.randrange(1, len(t) // 4 + 2)):
+            k = rng.randrange(len(t))
+            t = t[:k] + rng.choice(["", "z", "zz"]) + t[k + 1 :] or "q"
+        return t
+    old = [text(rng.randrange(3, 40)) for _ in range(40)]
+    new = [edited(rng.choice(old)) for _ in range(60)] + [text(rng.randrange(3, 40)) for _ in range(20)]
+    new += [edited(rng.choice(new)) for _ in range(40)] + new[:3] + new[70:74]
+    near = lambda a, b: 1 - _edits(a, b) / max(len(a), len(b), 1) >= 0.8
+    want = {}
+    for i, t in enumerate(new):
+        in_history = any(near(t, o) for o in old)
+        if in_history or any(near(t, o) for o in new[:i]):
+            want[i] = in_history
+    entries = lambda rows: history.with_fingerprint(spark.createDataFrame(rows, "incoming_id long, pos long, kind string, text string"), "text")
+    got = history.near_rows(entries([(None, None, "place", t) for t in [*old, None]]), entries([(i, i, "place", t) for i, t in enumerate([*new, None])]), 3, 0.8)
+    assert sorted((r.incoming_id, r.in_history) for r in got.collect()) == sorted(want.items()) and len(set(want.values())) == 2
+
+
 def test_block_tables_find_all_within_bits(spark):
     rng = np.random.default_rng(5)
     base = [int(x) for x in rng.integers(-(2**63), 2**63 - 1, 30)]
