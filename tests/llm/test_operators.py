@@ -218,7 +218,7 @@ def _edits(a: str, b: str) -> int:
     return row[-1]
 
 
-@pytest.mark.parametrize("witnesses", [0, 32])
+@pytest.mark.parametrize("witnesses", [(), (2, 32)])
 def test_near_rows_equal_brute_force(spark, monkeypatch, witnesses):
     monkeypatch.setattr(history, "WITNESSES", witnesses)
     monkeypatch.setattr(history, "BLOCK", 20)
