@@ -9,6 +9,10 @@ from pyspark.sql import functions as F
 
 #: Items packed together by one task. Random shards of this size each leave at most a few bins part full.
 SHARD = 8192
+#: Share of the attention cost of one full item that a pack may reach. At 1 the token limit alone would decide.
+COST_SHARE = 0.8
+#: Repeated rows written out by one task at a time.
+RUN = 65_536
 
 
 def best_fit(sizes: np.ndarray, caps: np.ndarray, weights: np.ndarray, score: str = "residual") -> np.ndarray:
@@ -51,21 +55,25 @@ def best_fit(sizes: np.ndarray, caps: np.ndarray, weights: np.ndarray, score: st
 
 
 def packs(
-    sized: DataFrame, capacities: DataFrame, key: str = "doc_id", max_items: int = 64, cost_share: float = 1.0,
+    sized: DataFrame, capacities: DataFrame, key: str = "doc_id", max_items: int = 64, cost_share: float = COST_SHARE,
     weights: tuple[float, float, float] = (1.0, 0.05, 0.05), score: str = "residual", shard: int = SHARD,
 ) -> DataFrame:
     """(pack_name, pack_id, key, piece_no, piece_start, n_tokens): every item of sized (key, n_tokens) in packs of each capacity.
 
     capacities: (pack_name, capacity). An item above the capacity is cut into full pieces, which are packs of their own,
     and one rest; no other item is cut. A pack holds at most `capacity` tokens, `max_items` items and an attention cost
-    (sum of squared sizes) of cost_share x capacity^2 - an item that alone costs more is a pack of its own. Items of no
-    tokens take a place but no room; null sizes count as none; null or non-positive capacities make no packs. sized should
-    be a written table: items are dealt to shards of about `shard` by their place in it, so copies of one key can't pile
-    up in a task; each shard is packed by best_fit. Shards grow in number, not in size.
+    (sum of squared sizes) of cost_share x capacity^2; with an item that alone costs more, only items of no tokens may go. Items of no
+    tokens take a place but no room; null sizes count as none; null or non-positive capacities make no packs. Items are
+    dealt to shards of about `shard` by a hash of key, size and number among equal rows, so the packs don't depend on how the
+    table is laid out and copies of one row can't pile up in a task; each shard is packed by best_fit, item by item, which
+    best fit needs. Shards grow in number, not in size.
     """
-    n = sized.count()
-    shards = max(1, -(-n // shard))
-    items = sized.select(F.col(key).alias("_key"), F.coalesce("n_tokens", F.lit(0)).cast("bigint").alias("_n"), F.monotonically_increasing_id().alias("_place"))
+    shards = max(1, -(-sized.count() // shard))
+    alike = sized.groupBy(F.col(key).alias("_key"), F.coalesce("n_tokens", F.lit(0)).cast("bigint").alias("_n")).agg(F.count("*").alias("_c"))
+    runs = alike.select("_key", "_n", "_c", F.explode(F.expr(f"sequence(0, (_c - 1) div {RUN})")).alias("_run"))
+    hot = F.when(F.col("_run") > 0, F.col("_run")).otherwise(F.xxhash64("_key"))
+    runs = runs.repartition(hot).select("_key", "_n", F.explode(F.expr(f"sequence(_run * {RUN}, least(_c, (_run + 1) * {RUN}) - 1)")).alias("_no"))
+    items = runs.withColumn("_place", F.xxhash64("_key", "_n", "_no"))
     caps = capacities.where("capacity > 0 AND pack_name IS NOT NULL").groupBy("pack_name").agg(F.max("capacity").cast("bigint").alias("capacity"))
     named = [(r.pack_name, r.capacity) for r in caps.take(1001)]
     if len(named) > 1000:
@@ -75,12 +83,12 @@ def packs(
     items = items.withColumn("_shard", F.pmod(F.xxhash64("_place"), F.lit(shards)))
     full = items.where("_n > capacity").select("*", F.explode(F.sequence(F.lit(0).cast("bigint"), F.expr("_n div capacity - 1"))).alias("_piece"))
     full = full.select(
-        "pack_name", F.concat_ws("-", F.lit("f"), F.col("_place"), F.col("_piece")).alias("pack_id"), F.col("_key").alias(key),
+        "pack_name", F.concat_ws("-", F.lit("f"), F.hex("_place"), F.col("_no"), F.col("_piece")).alias("pack_id"), F.col("_key").alias(key),
         F.col("_piece").cast("int").alias("piece_no"), (F.col("_piece") * F.col("capacity")).alias("piece_start"), F.col("capacity").alias("n_tokens"),
     )
     cut = F.col("_n") > F.col("capacity")
     rest = items.where("_n <= capacity OR _n % capacity > 0").select(
-        "pack_name", "capacity", "_shard", "_place", "_key",
+        "pack_name", "capacity", "_shard", "_place", "_no", "_key",
         F.when(cut, F.expr("_n div capacity")).otherwise(F.lit(0)).cast("int").alias("piece_no"),
         F.when(cut, F.expr("_n div capacity * capacity")).otherwise(F.lit(0)).cast("bigint").alias("piece_start"),
         F.when(cut, F.expr("_n % capacity")).otherwise(F.col("_n")).alias("n_tokens"),
@@ -88,7 +96,7 @@ def packs(
     key_type = sized.schema[key].dataType.simpleString()
 
     def pack(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_place", kind="stable").reset_index(drop=True)
+        pdf = pdf.sort_values(["_place", "_no"], kind="stable").reset_index(drop=True)
         capacity = float(pdf["capacity"].iloc[0])
         t = pdf["n_tokens"].to_numpy(float)
         limits = np.array([capacity, max_items, cost_share * capacity**2])

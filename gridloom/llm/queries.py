@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.functions.content import hash_key, hash_value, location
 from gridloom.llm import clusters, history, imaging, mixing, neardup, neighbours, packing, subset, survivors, tokens, visual
-from gridloom.session import cut, spread, table
+from gridloom.session import cut, shared_folder, spread, table
 
 #: Production parameters.
 SUBSET_SHARE = 0.05
@@ -86,11 +88,14 @@ def _entries(df: DataFrame, *keep: str) -> DataFrame:
 
 def _incoming_entries(spark: SparkSession, folder: str) -> DataFrame:
     incoming = table(spark, folder, "incoming").withColumn("pos", F.struct(F.col("batch_no").isNull().alias("no_batch"), F.col("batch_no").cast("bigint").alias("batch_no"), F.col("incoming_id").cast("bigint").alias("incoming_id")))
-    return cut(_entries(incoming, "incoming_id", "pos"))
+    return cut(_entries(incoming, "incoming_id", "batch_no", "pos"))
 
 
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
-    known = history.known_rows(_entries(table(spark, folder, "images")), _incoming_entries(spark, folder), HASH_BITS)
+    """The history's fingerprints are stored once; then every batch is looked up, verified and appended, in turn."""
+    store = history.BlockStore(spark, f"{shared_folder(spark).rstrip('/')}/history-{uuid.uuid4().hex}", HASH_BITS)
+    store.append(_entries(table(spark, folder, "images")), -1)
+    known = history.deduplicate_batches(store, _incoming_entries(spark, folder))
     return known.select(F.col("incoming_id").cast("bigint").alias("incoming_id")).distinct()
 
 
@@ -107,6 +112,11 @@ def p5_subset(spark: SparkSession, folder: str) -> DataFrame:
     return subset.varied_subset(images, round(SUBSET_SHARE * images.count()))
 
 
+def p5_report(spark: SparkSession, folder: str) -> DataFrame:
+    """How many of the grid's cells the subset covers."""
+    return subset.coverage(table(spark, folder, "images"), cut(p5_subset(spark, folder)))
+
+
 def p7_found(spark: SparkSession, folder: str) -> DataFrame:
     asked = table(spark, folder, "knn_probes").select(F.col("probe_no").alias("q"), F.col("image_id").alias("own"))
     return neighbours.nearest_images(_comparable(spark, folder), asked).select(F.col("q").alias("probe_no"), F.col("id").alias("neighbour_id"))
@@ -155,7 +165,7 @@ def p10_canonical(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        p1_found, p1_best_records, p2_found, p2_scenes, p3_found, p4_found, p4_near_places, p5_subset, p7_found, p7_neighbours,
+        p1_found, p1_best_records, p2_found, p2_scenes, p3_found, p4_found, p4_near_places, p5_subset, p5_report, p7_found, p7_neighbours,
         p8_packs, p8_report, p9_mixture, p9_shares, p10_found, p10_canonical,
     )
 }

@@ -27,21 +27,27 @@ SELECT id, hv, greatest(coalesce(use_count, 0), 0) AS uses,
 FROM {{cells}}
 """
 
-KEYED = """
-SELECT b.id, b.uses, xxhash64(c_bright, c_top, c_low, c_a, c_b, c_use) AS cell,
+CELL = "xxhash64(c_bright, c_top, c_low, c_a, c_b, c_use)"
+
+KEYED = f"""
+SELECT b.id, b.uses, {CELL} AS cell,
        CASE WHEN b.hv IS NULL OR f.first_id IS NOT NULL THEN 0 ELSE 1 END AS copy,
-       least(b.uses, 1000) AS use_band, xxhash64(b.id) AS h
-FROM {binned} b LEFT JOIN (SELECT hv, min(id) AS first_id FROM {binned} WHERE hv IS NOT NULL GROUP BY hv) f ON b.id = f.first_id
+       xxhash64(b.id) AS h
+FROM {{binned}} b LEFT JOIN (SELECT hv, min(id) AS first_id FROM {{binned}} WHERE hv IS NOT NULL GROUP BY hv) f ON b.id = f.first_id
 """
 
 SLICED = """
-SELECT cell, copy, use_band, shiftrightunsigned(h, 54) AS slice, count(*) AS n
-FROM {keyed} GROUP BY cell, copy, use_band, shiftrightunsigned(h, 54)
+SELECT cell, copy, uses, shiftrightunsigned(h, 54) AS slice, count(*) AS n
+FROM {keyed} GROUP BY cell, copy, uses, shiftrightunsigned(h, 54)
 """
 
 OFFSETS = """
-SELECT *, coalesce(sum(n) OVER (PARTITION BY cell ORDER BY copy, use_band, slice ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
-FROM {sliced}
+SELECT s.cell, s.copy, s.uses, s.slice,
+       t.before + coalesce(sum(s.n) OVER (PARTITION BY s.cell, s.copy, s.uses ORDER BY s.slice ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+FROM {sliced} s JOIN (
+  SELECT cell, copy, uses, coalesce(sum(n) OVER (PARTITION BY cell ORDER BY copy, uses ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+  FROM (SELECT cell, copy, uses, sum(n) AS n FROM {sliced} GROUP BY cell, copy, uses)) t
+ON s.cell = t.cell AND s.copy = t.copy AND s.uses = t.uses
 """
 
 PLAN = """
@@ -65,28 +71,46 @@ CHOSEN = """
 SELECT id, cell, rank FROM (
   SELECT w.id, w.cell, o.before + w.nr AS rank
   FROM (SELECT *, shiftrightunsigned(h, 54) AS slice,
-               row_number() OVER (PARTITION BY cell, copy, use_band, shiftrightunsigned(h, 54) ORDER BY h, id) AS nr FROM {keyed}) w
-  JOIN {offsets} o ON w.cell = o.cell AND w.copy = o.copy AND w.use_band = o.use_band AND w.slice = o.slice) r
+               row_number() OVER (PARTITION BY cell, copy, uses, shiftrightunsigned(h, 54) ORDER BY h, id) AS nr FROM {keyed}) w
+  JOIN {offsets} o ON w.cell = o.cell AND w.copy = o.copy AND w.uses = o.uses AND w.slice = o.slice) r
 JOIN {plan} p USING (cell) WHERE r.rank <= p.take
 """
 
 
+COVERAGE = """
+WITH have AS (SELECT cell, count(*) AS n FROM {cells} GROUP BY cell), got AS (SELECT cell, count(*) AS n FROM {chosen} GROUP BY cell)
+SELECT count(*) AS cells, count(g.cell) AS covered, coalesce(sum(h.n), 0) AS images, coalesce(sum(g.n), 0) AS chosen,
+       max(h.n) / sum(h.n) AS largest_share, max(g.n) / sum(g.n) AS largest_chosen_share
+FROM have h LEFT JOIN got g ON h.cell = g.cell
+"""
+
+
+def _binned(images: DataFrame) -> DataFrame:
+    spark = images.sparkSession
+    source = images.select("id", "mean_brightness", "use_count", "grid4x4", hash_key(images["file_hash"]).alias("hv"))
+    return spark.sql(BINNED, cells=spark.sql(CELLS, images=source))
+
+
+def coverage(images: DataFrame, chosen: DataFrame) -> DataFrame:
+    """One row: cells there are and cells the chosen rows (cell) cover, and the largest cell's share before and after."""
+    cells = _binned(images).selectExpr(f"{CELL} AS cell")
+    return images.sparkSession.sql(COVERAGE, cells=cells, chosen=chosen)
+
+
 def varied_subset(images: DataFrame, k: int) -> DataFrame:
     """(id, cell, rank): k rows (all, if there are fewer) spread over the cells of a grid on brightness, colour layout and use.
 
     Cells are taken in turn: every cell gives its first row before any gives its second, and so on; the last, partial round
     goes to the cells of smallest key. Within a cell the first image of each content comes before its copies, then the less
     used, then a fixed shuffle. Missing brightness and missing or short grids have bins of their own; negative or null
-    counts are 0. Ranks of a hot cell are the sum of a slice's offset and the rank within the slice, 1,024 slices a use
-    count, so no task holds a cell; copies of hot contents never meet, only their smallest id is computed. The plan per
+    counts are 0. Ranks of a hot cell are the sum of a use count's offset, a slice's offset and the rank within the slice, 1,024
+    slices a use count, so no task holds a cell; copies of hot contents never meet, only their smallest id is computed. The plan per
     cell covers all cells (their number is bounded by the bins), none is dropped.
     """
     spark = images.sparkSession
     if k <= 0:
         return spark.createDataFrame([], "id bigint, cell bigint, rank bigint")
-    source = images.select("id", "mean_brightness", "use_count", "grid4x4", hash_key(images["file_hash"]).alias("hv"))
-    cells = spark.sql(CELLS, images=source)
-    binned = spark.sql(BINNED, cells=cells)
+    binned = _binned(images)
     keyed = cut(spark.sql(KEYED, binned=binned))
     sliced = spark.sql(SLICED, keyed=keyed)
     offsets = spark.sql(OFFSETS, sliced=sliced)

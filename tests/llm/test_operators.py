@@ -189,24 +189,33 @@ def test_survivors(spark):
 
 
 def test_history(spark, tmp_path):
-    path = lambda n: [("place", 0, x) for x in n]
-    old = spark.createDataFrame([(k, f * 0 + 2**40 + 7, t) for k, f, t in path(["a/b", "a/b", "c"])] + [("hash", -5, "-5"), ("hash", None, None)], "kind string, fp long, text string")
-    new = [(1, 1, "place", 2**40 + 7, "a/b"), (2, 1, "place", 2**40 + 6, "new"), (3, 2, "place", 2**40 + 6, "new"), (4, None, "hash", -5, "-5"), (5, 3, "hash", None, None), (6, 3, "hash", -4, "-4")]
+    path = lambda n: [("place", 2**40 + 7, x) for x in n]
+    old = spark.createDataFrame([*path(["a/b", "a/b", "c"]), ("hash", -5, "-5"), ("hash", None, None)], "kind string, fp long, text string")
+    new = [(1, 1, "place", 2**40 + 7, "a/b"), (2, 1, "place", 2**40 + 6, "new"), (3, 2, "place", 2**40 + 6, "new"), (4, None, "hash", -5, "-5"), (5, 3, "hash", None, None), (6, 3, "hash", -4, "-4"), (7, 3, "hash", -4, "-4"), (8, None, "place", 2**40 + 6, "new")]
     df = spark.createDataFrame(new, "incoming_id long, batch_no long, kind string, fp long, text string")
     df = df.withColumn("pos", F.struct(F.col("batch_no").isNull().alias("n"), "batch_no", "incoming_id"))
-    got = {r.incoming_id: r.in_history for r in history.known_rows(old, df, 1).collect()}
-    assert got == {1: True, 3: False, 4: True}
-    near = {r.incoming_id for r in history.known_rows(old, df, 1, F.lit(True)).where("kind = 'hash'").collect()}
-    assert near == {4, 6} or near == {4}
-    store = str(tmp_path / "store")
-    history.append_batch(store, old)
-    seen = set()
-    for batch in (1, 2, 3):
-        part = df.where(F.coalesce("batch_no", F.lit(3)) == batch)
-        seen |= {r.incoming_id for r in history.known_rows(spark.read.parquet(store), part, 1).collect()}
-        history.append_batch(store, part)
-    assert seen == {1, 3, 4}
-    assert history.known_rows(old, df.limit(0), 1).count() == 0
+    store = history.BlockStore(spark, str(tmp_path / "store"), 1)
+    store.append(old, -1)
+    want = {1: -1, 3: 0, 4: -1, 7: 2, 8: 0}
+    assert {r.incoming_id: r.first_batch for r in history.deduplicate_batches(store, df).collect()} == want
+    held = sorted(map(tuple, spark.read.parquet(store.path).collect()))
+    assert {r.incoming_id: r.first_batch for r in history.deduplicate_batches(store, df).collect()} == want  # all over again
+    assert sorted(map(tuple, spark.read.parquet(store.path).collect())) == held
+    assert history.deduplicate_batches(store, df.limit(0)).count() == 0
+
+
+def test_lookup_reads_only_the_folders_it_needs(spark, tmp_path):
+    rng = np.random.default_rng(7)
+    codes = [int(x) for x in rng.integers(-(2**63), 2**63 - 1, 500)]
+    store = history.BlockStore(spark, str(tmp_path / "store"), 1, parts=16)
+    store.append(spark.createDataFrame([("hash", c, str(c)) for c in codes], "kind string, fp long, text string"), -1)
+    asked = spark.createDataFrame([("hash", codes[3], str(codes[3])), ("hash", codes[4] ^ 1, str(codes[4])), ("hash", codes[5] ^ 3, str(codes[5])), ("hash", codes[6] ^ 1, "other")], "kind string, fp long, text string")
+    assert sorted(r.text for r in store.lookup(asked, 0).collect()) == sorted([str(codes[3]), str(codes[4])])
+    near = {r.text for r in store.lookup(asked, 0, F.lit(True)).collect()}
+    assert near == {str(codes[3]), str(codes[4]), "other"}
+    parts = [r.part for r in store._tables(asked.limit(1)).select("part").distinct().collect()]
+    files = store._stored(0, parts).select(F.input_file_name().alias("f")).distinct().collect()
+    assert 1 <= len(files) <= 2 and all(any(f"part={p}/" in r.f for p in parts) for r in files)
 
 
 def _edits(a: str, b: str) -> int:
@@ -272,6 +281,10 @@ def test_subset(library):
             most = max(len(x) for x in per.values())
             whole = {c: n for c, n in ((r.cell, r.n) for r in subset.varied_subset(df, 10_000).groupBy("cell").agg(F.count("*").alias("n")).collect())}
             assert all(len(per.get(c, [])) >= min(n, most - 1) for c, n in whole.items())
+    report = subset.coverage(df, subset.varied_subset(df, 17)).first()
+    assert report.cells == len(whole) and report.covered == 17 and report.chosen == 17 and report.images == len(rows)
+    used = subset.varied_subset(df.withColumn("use_count", F.lit(2000) + F.col("id").cast("int")).withColumn("grid4x4", F.lit(None).cast("array<float>")).withColumn("file_hash", F.lit(None).cast("string")).withColumn("mean_brightness", F.lit(1.0)), 10)
+    assert sorted(r.id for r in used.collect()) == sorted(r[0] for r in rows)[:10]  # the less used first, however much all are used
     assert subset.varied_subset(df, 0).count() == 0 and subset.varied_subset(df.limit(0), 5).count() == 0
 
 
@@ -314,6 +327,22 @@ def test_packs(spark):
     assert packing.packs(sized.limit(0), caps).count() == 0 and packing.packs(sized, caps.limit(0)).count() == 0
 
 
+def test_attention_cost_decides(spark):
+    sized = spark.createDataFrame([(1, 95), (2, 5), (3, 60), (4, 40)], "doc_id long, n_tokens long")
+    caps = spark.createDataFrame([("a", 100)], "pack_name string, capacity int")
+    together = lambda share: sorted(sorted(r.ids) for r in packing.packs(sized, caps, cost_share=share).groupBy("pack_id").agg(F.collect_list("doc_id").alias("ids")).collect())
+    assert together(1.0) == [[1, 2], [3, 4]] and together(0.8) == [[1], [2], [3, 4]] and together(0.5) == [[1], [2, 3], [4]]
+
+
+def test_packs_do_not_depend_on_layout(spark):
+    rng = random.Random(6)
+    docs = [(rng.randrange(200), rng.choice([10, 70, 300])) for _ in range(500)] + [(7, 44)] * 300
+    sized = spark.createDataFrame(docs, "doc_id long, n_tokens long")
+    caps = spark.createDataFrame([("a", 512)], "pack_name string, capacity int")
+    one, two = (sorted(map(tuple, packing.packs(x, caps, shard=100).collect())) for x in (sized, sized.orderBy(F.rand(1)).repartition(5)))
+    assert one == two and len(one) == 800
+
+
 def test_mixture(spark):
     rng = random.Random(5)
     docs = [(i, rng.choice(["a"] * 6 + ["b", "b", "c", "x", None]), rng.choice([0, None, 5, 50, 500])) for i in range(3000)]
