@@ -112,7 +112,7 @@ def varied_subset(images: DataFrame, k: int) -> DataFrame:
         return spark.createDataFrame([], "id bigint, cell bigint, rank bigint")
     binned = _binned(images)
     keyed = cut(spark.sql(KEYED, binned=binned))
-    sliced = spark.sql(SLICED, keyed=keyed)
+    sliced = cut(spark.sql(SLICED, keyed=keyed))
     offsets = spark.sql(OFFSETS, sliced=sliced)
     plan = spark.sql(PLAN, sliced=sliced, k=int(k))
     return spark.sql(CHOSEN, keyed=keyed, offsets=offsets, plan=plan)
