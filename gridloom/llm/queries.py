@@ -63,12 +63,18 @@ def _comparable(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
-    return clusters.linked_clusters(_comparable(spark, folder)).select("cluster_key", "image_id")
+    return clusters.linked_clusters(_comparable(spark, folder))
 
 
 def p2_scenes(spark: SparkSession, folder: str) -> DataFrame:
     """Every scene with its size and its most typical images."""
-    return clusters.cluster_report(cut(clusters.linked_clusters(_comparable(spark, folder))))
+    comparable = _comparable(spark, folder)
+    return clusters.cluster_report(cut(clusters.linked_clusters(comparable)), comparable)
+
+
+def p2_leaves(spark: SparkSession, folder: str) -> DataFrame:
+    """The tree's compact leaves with their sizes and the images nearest to their centres."""
+    return clusters.leaf_report(_comparable(spark, folder))
 
 
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -165,7 +171,7 @@ def p10_canonical(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        p1_found, p1_best_records, p2_found, p2_scenes, p3_found, p4_found, p4_near_places, p5_subset, p5_report, p7_found, p7_neighbours,
+        p1_found, p1_best_records, p2_found, p2_scenes, p2_leaves, p3_found, p4_found, p4_near_places, p5_subset, p5_report, p7_found, p7_neighbours,
         p8_packs, p8_report, p9_mixture, p9_shares, p10_found, p10_canonical,
     )
 }

@@ -102,18 +102,41 @@ def test_clusters(comparable, spark):
     want = {(p.id[root[k]], p.id[k]) for k in range(len(p)) if (root == root[k]).sum() >= 20}
     got = clusters.linked_clusters(comparable).cache()
     assert {(r.cluster_key, r.image_id) for r in got.collect()} == want and len({a for a, _ in want}) == 3
-    report = {r.cluster_key: r for r in clusters.cluster_report(got).collect()}
+    report = {r.cluster_key: r for r in clusters.cluster_report(got, comparable).collect()}
     assert sorted(r.members for r in report.values()) == [21, 25, 40] and all(len(r.typical) == 3 for r in report.values())
-    assert clusters.linked_clusters(comparable.limit(0)).count() == 0
+    for key, r in report.items():
+        ids = sorted(i for k, i in want if k == key)
+        at = [int(np.flatnonzero(p.id.values == i)[0]) for i in ids]
+        d = np.sqrt(((g[at] - g[at].mean(0)) ** 2).mean(1))
+        assert r.typical == [ids[k] for k in np.lexsort((ids, np.round(d, 6)))[:3]]
+    assert sum(r.images for r in clusters.leaf_report(comparable).collect()) >= 60
+    assert clusters.linked_clusters(comparable.limit(0)).count() == 0 and clusters.leaf_report(comparable.limit(0)).count() == 0
 
 
 def test_cluster_tree_splits_large_groups(spark, monkeypatch, comparable):
-    monkeypatch.setattr(clusters, "GROUP", 16)
-    monkeypatch.setattr(clusters, "COMPACT_SHARE", 2.0)  # nothing is compact: all rows stay loose
+    monkeypatch.setattr(clusters, "GROUP", 40)
+    monkeypatch.setattr(clusters, "SAMPLE", 5)  # no compact leaf at first: all rows are loose, in one group
     got = clusters.linked_clusters(comparable)
     assert sorted(r["count"] for r in got.groupBy("cluster_key").count().collect()) == [21, 25, 40]
 
 
+def test_dense_groups_end(spark, monkeypatch):
+    """A ball of equal-looking rows and a hollow one, both larger than a task's group and absent from the first sample."""
+    rng = np.random.default_rng(3)
+    away = rng.normal(size=(9000, 192))
+    away *= np.r_[rng.uniform(0, 9, 5000), np.full(4000, 12.0)][:, None] * 192**0.5 / np.sqrt((away**2).sum(1))[:, None]
+    grids = np.clip(np.rint((np.where(np.arange(9000) < 5000, 90, 160)[:, None] + away) * 4) / 4, 0, 255).astype(np.float32)
+    rows = spark.createDataFrame([(i, 100.0, 50.0, bytes(v)) for i, v in enumerate(imaging.pack(grids).to_pylist())], "id bigint, avg_l double, saturation double, vec binary").repartition(4)
+    monkeypatch.setattr(clusters, "GROUP", 700)
+    monkeypatch.setattr(clusters, "GROUP_SAMPLE", 300)
+    monkeypatch.setattr(clusters, "SAMPLE", 2)
+    loose = clusters._placed(rows).where("grp IS NOT NULL").select("id", "grp", "vec", "avg_l", "saturation")
+    split, _ = clusters._split_on(loose)
+    assert split.count() <= 3 * 9000 and split.groupBy("grp").count().agg(F.max("count")).first()[0] <= 700
+    got = sorted((r["cluster_key"], r["count"]) for r in clusters.linked_clusters(rows).groupBy("cluster_key").count().collect())
+    assert got == [(0, 5000), (5000, 4000)]
+
+
 def test_near_duplicates(comparable):
     p, g = _local(comparable)
     want = set()
