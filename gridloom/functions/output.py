@@ -62,4 +62,4 @@ def streams(width: int, height: int, fmt: str, mode: str = "auto") -> bool:
 
 
 def export_name(rank: int, runs: int, tiles: int, image_id: int, extension: str) -> str:
-    return f"rank{rank:06d}_{runs}runs_{tiles}tiles_id{image_id}{extension}"
+    return f"rank{rank:04d}_{runs}runs_{tiles}tiles_id{image_id}{extension}"

@@ -81,13 +81,13 @@ def worst_tiles(winners: DataFrame, n: int) -> DataFrame:
     return winners.select("run_id", "tile_idx", "image_id", "score").distinct().orderBy(F.desc_nulls_last("score"), F.desc("tile_idx"), F.desc("run_id"), F.desc_nulls_last("image_id")).limit(n)
 
 
-def worst_causes(winners: DataFrame, images: DataFrame, least_score: float) -> DataFrame:
-    """(cause, n): why winners of at least this score fit badly: dark or popular image, high colour or layout distance."""
-    uses = winners.where("image_id > 0").groupBy("image_id").agg(F.count("*").alias("uses"))
-    about = uses.join(images.select(F.col("id").alias("image_id"), "avg_l"), "image_id", "left")
-    bad = winners.where((F.col("score") >= least_score) & (F.col("image_id") > 0)).groupBy("image_id").agg(F.count("*").alias("n"))
-    cause = F.when(F.col("avg_l") < 60, "dark").when(F.col("uses") > 10, "popular").otherwise("combined")
-    return bad.join(about, "image_id").groupBy(cause.alias("cause")).agg(F.sum("n").alias("n"))
+# Beyond these a colour or layout distance explains a bad match, below this a tile is dark, above this an image popular.
+FAR_COLOUR, FAR_LAYOUT, DARK_TILE, POPULAR = 0.3, 0.5, 60, 10
+
+
+def worst_cause(lab: Column, grid: Column, tile_l: Column, uses: Column) -> Column:
+    """Why a match is bad: colour, then layout, then a dark tile, then a popular image, else all together. Nulls explain nothing."""
+    return F.when(lab > FAR_COLOUR, "colour").when(grid > FAR_LAYOUT, "layout").when(tile_l < DARK_TILE, "dark").when(uses > POPULAR, "popular").otherwise("combined")
 
 
 def reuse_windows(winners: DataFrame, window: int) -> DataFrame:

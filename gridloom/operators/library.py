@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gridloom.functions.content import hash_value
+
 # The limits of the brightness bands and of the warnings, and their texts.
 STATS_BANDS = (30, 70)
 HEALTH_BANDS = (50, 150)
@@ -74,18 +76,31 @@ def hotspot_share(usage: DataFrame) -> DataFrame:
     return sums.withColumn("hotspot_pct", _share(F.col("hotspot_tiles"), F.col("all_tiles")))
 
 
+#: Recommendations by rule: what to add to, or do with, a library.
+ADVICE = {"dark": "add dark pictures", "mid": "add pictures of medium light", "green_red": "widen the green to red range", "blue_yellow": "widen the blue to yellow range", "unused": "look at the usage list"}
+
+
+def library_usage(images: DataFrame, usage: DataFrame) -> DataFrame:
+    """One usage row per library image in use: replays merged, ids the library lacks left out."""
+    return merged_usage(usage).join(images.select(F.col("id").alias("image_id")), "image_id", "left_semi")
+
+
 def health_report(images: DataFrame, usage: DataFrame) -> DataFrame:
-    """One row: bands and gamut with percentages, used and unused counts, and the warnings as flags."""
+    """One row: bands, gamut, used and unused images with percentages, warnings as flags, and the rules (keys of ADVICE, joined
+    by commas) that call for a recommendation. Used images are those of the library with a usage row, replays counted once.
+    An empty library has null shares and no warnings."""
     base = images.agg(F.count("*").alias("total"), *band_counts(HEALTH_BANDS), F.min("avg_a").alias("min_a"), F.max("avg_a").alias("max_a"), F.min("avg_b").alias("min_b"), F.max("avg_b").alias("max_b"))
-    hot = hotspot_share(usage).select("used", "hotspot_pct")
+    hot = hotspot_share(library_usage(images, usage)).select(F.coalesce("used", F.lit(0)).alias("used"), "hotspot_pct")
     row = base.crossJoin(F.broadcast(hot)).withColumn("unused", F.col("total") - F.col("used"))
-    total = F.col("total")
-    return row.select(
-        "total", "dark", "mid", "bright", _share(F.col("dark"), total).alias("dark_pct"), _share(F.col("mid"), total).alias("mid_pct"), _share(F.col("bright"), total).alias("bright_pct"),
-        "used", "unused", "hotspot_pct", (_share(F.col("dark"), total) < 5).alias("warn_dark"), (_share(F.col("mid"), total) < 15).alias("warn_mid"),
-        (F.col("min_a") > 115).alias("warn_min_a"), (F.col("max_a") < 140).alias("warn_max_a"), (F.col("min_b") > 115).alias("warn_min_b"), (F.col("max_b") < 140).alias("warn_max_b"),
-        (F.col("unused") > F.floor(total / 2)).alias("warn_unused"), (F.col("hotspot_pct") > 20).alias("warn_hotspot"),
-    )
+    for part in ("dark", "mid", "bright", "used", "unused"):
+        row = row.withColumn(f"{part}_pct", _share(F.col(part), F.col("total")))
+    flags = {
+        "dark": F.col("dark_pct") < 5, "mid": F.col("mid_pct") < 15, "min_a": F.col("min_a") > 115, "max_a": F.col("max_a") < 140,
+        "min_b": F.col("min_b") > 115, "max_b": F.col("max_b") < 140, "unused": F.col("unused") > F.floor(F.col("total") / 2), "hotspot": F.col("hotspot_pct") > 20,
+    }
+    advice = {"dark": flags["dark"], "mid": flags["mid"], "green_red": flags["min_a"] | flags["max_a"], "blue_yellow": flags["min_b"] | flags["max_b"], "unused": flags["unused"]}
+    kept = ["total", "dark", "mid", "bright", "dark_pct", "mid_pct", "bright_pct", "min_a", "max_a", "min_b", "max_b", "used", "unused", "used_pct", "unused_pct", "hotspot_pct"]
+    return row.select(*kept, *[t.alias(f"warn_{k}") for k, t in flags.items()], F.concat_ws(",", *[F.when(t, F.lit(k)) for k, t in advice.items()]).alias("advice"))
 
 
 def l_range(images: DataFrame, low: float, high: float, limit: int | None = None) -> DataFrame:
@@ -112,7 +127,7 @@ def usage_export(usage: DataFrame, images: DataFrame) -> DataFrame:
     one = one.select(F.lit(0).alias("g"), "image_id", "total_runs", "total_tiles", "file_path")
     ranked = spread_rank(one, ["g"], [F.col("total_tiles").desc_nulls_last(), F.col("image_id")])
     ext = F.coalesce(F.regexp_extract("file_path", r"(\.[^./\\]+)$", 1), F.lit(""))
-    name = F.concat(F.lit("rank"), F.lpad(F.col("rank").cast("string"), 6, "0"), F.lit("_"), F.col("total_runs"), F.lit("runs_"), F.col("total_tiles"), F.lit("tiles_id"), F.col("image_id"), ext)
+    name = F.concat(F.format_string("rank%04d_", "rank"), F.col("total_runs"), F.lit("runs_"), F.col("total_tiles"), F.lit("tiles_id"), F.col("image_id"), ext)
     return ranked.select("image_id", "rank", name.alias("file_name"), F.col("file_path").isNotNull().alias("found"))
 
 
@@ -120,18 +135,27 @@ def unused_images(images: DataFrame, usage: DataFrame) -> DataFrame:
     return images.join(usage.select(F.col("image_id").alias("id")).where("id IS NOT NULL").distinct(), "id", "left_anti").select("id", "file_path")
 
 
-def first_of_content(rows: DataFrame, key: str, order: list[str]) -> DataFrame:
+def first_of_content(rows: DataFrame, key: str | Column, order: list[str]) -> DataFrame:
     """The first row of every content by the order columns (ascending); rows without a content key all stay."""
-    first = rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.min_by(F.struct(*rows.columns), F.struct(*order)).alias("r")).select("r.*")
-    return first.unionByName(rows.where(F.col(key).isNull()))
+    keyed = rows.withColumn("_content", F.col(key) if isinstance(key, str) else key)
+    first = keyed.where("_content IS NOT NULL").groupBy("_content").agg(F.min_by(F.struct(*rows.columns), F.struct(*order)).alias("r")).select("r.*")
+    return first.unionByName(keyed.where("_content IS NULL").select(*rows.columns))
+
+
+def known_hashes(rows: DataFrame, library: DataFrame) -> DataFrame:
+    """The rows whose file_hash denotes a value that a library row's denotes, whatever the notation; void hashes are not known."""
+    old = library.select(hash_value(F.col("file_hash")).alias("_hash")).distinct()
+    return rows.withColumn("_hash", hash_value(F.col("file_hash"))).join(old, "_hash", "left_semi").drop("_hash")
 
 
 def append_build(library: DataFrame, fresh: DataFrame) -> DataFrame:
-    """(file_hash, file_path, known): an incremental build. Library rows stay; of the fresh rows the first of each hash comes in
-    if neither its hash nor its path is there yet. Null hashes are compared by path only."""
+    """(file_hash, file_path, known): an incremental build. Library rows stay; of the fresh rows the first of each hash value
+    comes in if neither its value nor its path is there yet. Hashes that denote no value are compared by path only."""
     old = library.select("file_hash", "file_path")
-    new = first_of_content(fresh.select("file_hash", "file_path").distinct(), "file_hash", ["file_path"])
-    new = new.join(old.select("file_hash").where("file_hash IS NOT NULL").distinct(), "file_hash", "left_anti").join(old.select("file_path").distinct(), "file_path", "left_anti")
+    new = first_of_content(fresh.select("file_hash", "file_path").distinct(), hash_value(F.col("file_hash")), ["file_path", "file_hash"])
+    new = first_of_content(new, "file_path", ["file_hash"]).withColumn("_hash", hash_value(F.col("file_hash")))
+    held = old.select(hash_value(F.col("file_hash")).alias("_hash")).where("_hash IS NOT NULL").distinct()
+    new = new.join(held, "_hash", "left_anti").join(old.select("file_path").distinct(), "file_path", "left_anti")
     return old.withColumn("known", F.lit(True)).unionByName(new.select("file_hash", "file_path").withColumn("known", F.lit(False)))
 
 

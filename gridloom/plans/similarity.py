@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.functions import vectors as v
-from gridloom.operators import nearest, selector
+from gridloom.operators import analysis, nearest, selector
 from gridloom.operators.analysis import index_percentiles
 from gridloom.plans.tables import rounded
 from gridloom.session import cut, spread, table
@@ -14,7 +14,8 @@ from gridloom.session import cut, spread, table
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
 K = 10
-CANDIDATES = 50
+#: Library rows scored for each tile.
+CANDIDATES = 150
 #: Feature weights of the two-stage ranking: the stored features of the library.
 WEIGHTS = {"lab": 0.20, "grid": 0.45, "edge": 0.05}
 USE_PENALTY = 0.01
@@ -294,7 +295,7 @@ def _candidates(spark: SparkSession, d: str) -> DataFrame:
         "grid": v.grid_distance(F.col("t_g"), F.col("g")),
         "edge": F.abs(F.col("t_edge_density") - F.col("edge_density")),
     }
-    both = both.select("tile", F.col("id").alias("image_id"), "ann_rank", "use_count", "g", "t_g", *[c.alias(k) for k, c in distances.items()])
+    both = both.select("tile", F.col("id").alias("image_id"), "ann_rank", "use_count", "g", "t_g", "t_avg_l", *[c.alias(k) for k, c in distances.items()])
     return both.withColumn("score", selector.weighted_score({k: F.col(k) for k in WEIGHTS}, WEIGHTS, F.col("use_count"), USE_PENALTY))
 
 
@@ -304,11 +305,16 @@ def rerank_two_stage(spark, d):
     return rounded(got.select("tile", "image_id", "ann_rank", "rank", "score", "gap"))
 
 
-@query(f"WITH {_MATCH} SELECT tile, image_id, round(score, 6) AS score FROM r WHERE rank = 1")
+@query(
+    f"""WITH {_MATCH.split("near AS")[0]}c AS MATERIALIZED (SELECT t.tile, l.id AS image_id, l.use_count, sqrt((t.avg_l - l.avg_l)**2 + (t.avg_a - l.avg_a)**2 + (t.avg_b - l.avg_b)**2) / 100 AS lab, abs(t.edge_density - l.edge_density) AS edge, t.g AS g, l.g AS yg FROM t JOIN lib l ON l.id <> t.id),
+s AS (SELECT tile, image_id, (0.20 * lab + 0.45 * list_sum(list_transform(range(64), lambda i: sqrt({_terms(_SQ)}) * {_W}[i+1])) / 6400 + 0.05 * edge) / 0.70 + coalesce(use_count, 0) * 0.01 AS score FROM c)
+SELECT tile, image_id, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY tile ORDER BY score, image_id) AS r FROM s) WHERE r = 1"""
+)
 def best_match(spark, d):
-    """The single best candidate of every tile, without ranking the rest."""
-    c = _candidates(spark, d)
-    return rounded(c.groupBy("tile").agg(F.min(F.struct("score", "image_id")).alias("m")).select("tile", "m.image_id", "m.score"))
+    """The single best row of the whole library for every tile."""
+    lib = _library(spark, d).drop("vec", "file_hash")
+    tiles = table(spark, d, "knn_probes").select(F.col("probe_no").alias("tile"), F.col("image_id").alias("id")).join(lib, "id")
+    return rounded(selector.full_match(lib, tiles, WEIGHTS, USE_PENALTY))
 
 
 @query(f"WITH {_MATCH} SELECT round(sum(0.20 * lab) / sum(0.20 * lab + 0.45 * grid + 0.05 * edge), 6) AS lab, round(sum(0.45 * grid) / sum(0.20 * lab + 0.45 * grid + 0.05 * edge), 6) AS grid, round(sum(0.05 * edge) / sum(0.20 * lab + 0.45 * grid + 0.05 * edge), 6) AS edge FROM r WHERE rank = 1")
@@ -334,8 +340,18 @@ def grid_size_experiment(spark, d):
     return rounded(best.agg(F.count("*").alias("tiles"), F.avg((F.col("f.image_id") != F.col("c.image_id")).cast("double")).alias("differ")))
 
 
+@query(
+    f"""WITH {_MATCH}, m AS (SELECT r.lab, r.grid, l.use_count, t.avg_l FROM r JOIN t ON t.tile = r.tile JOIN lib l ON l.id = r.image_id WHERE r.rank = 1)
+SELECT CASE WHEN lab > 0.3 THEN 'colour' WHEN grid > 0.5 THEN 'layout' WHEN avg_l < 60 THEN 'dark' WHEN use_count > 10 THEN 'popular' ELSE 'combined' END AS cause, count(*) AS tiles FROM m GROUP BY 1"""
+)
+def worst_causes(spark, d):
+    """Why the winners fit as badly as they do."""
+    best = _candidates(spark, d).groupBy("tile").agg(F.min(F.struct("score", "image_id", "lab", "grid", "t_avg_l", "use_count")).alias("m")).select("m.*")
+    return best.groupBy(analysis.worst_cause(F.col("lab"), F.col("grid"), F.col("t_avg_l"), F.col("use_count")).alias("cause")).agg(F.count("*").alias("tiles"))
+
+
 @query()
 def greedy_select(spark, d):
     """Winners of four runs over the probes' tiles, one after the other in each run."""
     c = _candidates(spark, d).select((F.col("tile") % 4).alias("run_id"), "tile", "image_id", "score", "g").withColumnRenamed("g", "grid")
-    return rounded(selector.greedy_choice(c, selector.auto_window(10, 100), tiles_x=10))
+    return rounded(selector.greedy_choice(c, selector.auto_window(10, table(spark, d, "images").count()), tiles_x=10))

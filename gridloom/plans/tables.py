@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gridloom.functions.content import hash_value
 from gridloom.operators import analysis, library
 from gridloom.session import table
 
@@ -57,21 +58,30 @@ def coverage_gaps(spark, d):
     return library.coverage_gaps(table(spark, d, "images"))
 
 
-_HOT = """r AS (SELECT *, row_number() OVER (ORDER BY total_runs DESC NULLS LAST, image_id NULLS FIRST, total_tiles DESC NULLS LAST) AS r, count(*) OVER () AS used FROM usage_stats),
+#: The unsigned value a hash text denotes, for the SQL side.
+_HASHED = r"""(SELECT *, CASE WHEN h LIKE '-%' AND m > 0 THEN 18446744073709551616::HUGEINT - m ELSE m END AS hv FROM (SELECT *,
+  CASE WHEN regexp_full_match(h, '[+-]?[0-9]+') THEN TRY_CAST(ltrim(h, '+-') AS HUGEINT)
+       WHEN regexp_full_match(h, '[+-]?(0x)?[0-9a-f]+') THEN CAST(TRY_CAST('0x' || regexp_replace(ltrim(h, '+-'), '^0x', '') AS UBIGINT) AS HUGEINT) END AS m
+  FROM (SELECT *, lower(regexp_replace(file_hash, '\s', '', 'g')) AS h FROM {})))"""
+
+_HOT = """kept AS (SELECT m.* FROM merged m SEMI JOIN images i ON i.id = m.image_id),
+r AS (SELECT *, row_number() OVER (ORDER BY total_runs DESC NULLS LAST, image_id) AS r, count(*) OVER () AS used FROM kept),
 hot AS (SELECT max(used) AS used, max(greatest(floor(used / 100), 1)) AS top, sum(total_tiles) FILTER (r <= greatest(floor(used / 100), 1)) AS hotspot_tiles, sum(total_tiles) AS all_tiles FROM r)"""
 
 
-@query(f"WITH {_HOT} SELECT used, CAST(top AS BIGINT) AS top, CAST(hotspot_tiles AS BIGINT) AS hotspot_tiles, CAST(all_tiles AS BIGINT) AS all_tiles, round(100.0::double * hotspot_tiles / all_tiles, 6) AS hotspot_pct FROM hot")
+@query(f"WITH {_MERGED}, {_HOT} SELECT used, CAST(top AS BIGINT) AS top, CAST(hotspot_tiles AS BIGINT) AS hotspot_tiles, CAST(all_tiles AS BIGINT) AS all_tiles, round(100.0::double * hotspot_tiles / all_tiles, 6) AS hotspot_pct FROM hot")
 def usage_hotspot(spark, d):
-    return rounded(library.hotspot_share(table(spark, d, "usage_stats")))
+    return rounded(library.hotspot_share(library.library_usage(table(spark, d, "images"), table(spark, d, "usage_stats"))))
 
 
 @query(
-    f"""WITH {_HOT}, b AS (SELECT count(*) AS total, {_BANDS.format(50, 150)}, min(avg_a) AS min_a, max(avg_a) AS max_a, min(avg_b) AS min_b, max(avg_b) AS max_b FROM images),
+    f"""WITH {_MERGED}, {_HOT}, b AS (SELECT count(*) AS total, {_BANDS.format(50, 150)}, min(avg_a) AS min_a, max(avg_a) AS max_a, min(avg_b) AS min_b, max(avg_b) AS max_b FROM images),
 x AS (SELECT *, 100.0::double * hotspot_tiles / all_tiles AS hp, total - used AS unused, 100.0::double * dark / total AS dp, 100.0::double * mid / total AS mp, 100.0::double * bright / total AS bp FROM b, hot)
-SELECT total, dark, mid, bright, round(dp, 6) AS dark_pct, round(mp, 6) AS mid_pct, round(bp, 6) AS bright_pct, used, unused, round(hp, 6) AS hotspot_pct,
+SELECT total, dark, mid, bright, round(dp, 6) AS dark_pct, round(mp, 6) AS mid_pct, round(bp, 6) AS bright_pct, round(min_a, 6) AS min_a, round(max_a, 6) AS max_a, round(min_b, 6) AS min_b, round(max_b, 6) AS max_b,
+  used, unused, round(100.0::double * used / total, 6) AS used_pct, round(100.0::double * unused / total, 6) AS unused_pct, round(hp, 6) AS hotspot_pct,
   dp < 5 AS warn_dark, mp < 15 AS warn_mid, min_a > 115 AS warn_min_a, max_a < 140 AS warn_max_a, min_b > 115 AS warn_min_b, max_b < 140 AS warn_max_b,
-  unused > floor(total / 2) AS warn_unused, hp > 20 AS warn_hotspot FROM x"""
+  unused > total // 2 AS warn_unused, hp > 20 AS warn_hotspot,
+  concat_ws(',', CASE WHEN dp < 5 THEN 'dark' END, CASE WHEN mp < 15 THEN 'mid' END, CASE WHEN min_a > 115 OR max_a < 140 THEN 'green_red' END, CASE WHEN min_b > 115 OR max_b < 140 THEN 'blue_yellow' END, CASE WHEN unused > total // 2 THEN 'unused' END) AS advice FROM x"""
 )
 def health_report(spark, d):
     return rounded(library.health_report(table(spark, d, "images"), table(spark, d, "usage_stats")))
@@ -99,24 +109,24 @@ def meta_lookup(spark, d):
     return want.join(got, "key", "left").select("key", F.coalesce("value", "fallback").alias("value"))
 
 
-@query("SELECT incoming_id FROM incoming WHERE file_hash IN (SELECT file_hash FROM images WHERE file_hash IS NOT NULL)")
+@query(f"SELECT incoming_id FROM {_HASHED.format('incoming')} WHERE hv IN (SELECT hv FROM {_HASHED.format('images')} WHERE hv IS NOT NULL)")
 def hash_exists(spark, d):
-    return table(spark, d, "incoming").join(table(spark, d, "images").select("file_hash").distinct(), "file_hash", "left_semi").select("incoming_id")
+    return library.known_hashes(table(spark, d, "incoming").select("incoming_id", "file_hash"), table(spark, d, "images")).select("incoming_id")
 
 
 @query(
-    """SELECT id, file_hash FROM (SELECT id, file_hash, row_number() OVER (PARTITION BY file_hash ORDER BY file_path, id) AS r FROM images WHERE file_hash IS NOT NULL) WHERE r = 1
-UNION ALL SELECT id, file_hash FROM images WHERE file_hash IS NULL"""
+    f"""SELECT id, file_hash FROM (SELECT id, file_hash, hv, row_number() OVER (PARTITION BY hv ORDER BY file_path, id) AS r FROM {_HASHED.format('images')}) WHERE r = 1 OR hv IS NULL"""
 )
 def dedup_content_hash(spark, d):
-    return library.first_of_content(table(spark, d, "images").select("id", "file_hash", "file_path"), "file_hash", ["file_path", "id"]).select("id", "file_hash")
+    return library.first_of_content(table(spark, d, "images").select("id", "file_hash", "file_path"), hash_value(F.col("file_hash")), ["file_path", "id"]).select("id", "file_hash")
 
 
 @query(
-    """WITH f AS (SELECT file_hash, file_path, row_number() OVER (PARTITION BY file_hash ORDER BY file_path) AS r FROM (SELECT DISTINCT file_hash, file_path FROM incoming))
+    f"""WITH f AS (SELECT file_hash, file_path, hv, row_number() OVER (PARTITION BY hv ORDER BY file_path, file_hash) AS r FROM (SELECT DISTINCT file_hash, file_path, hv FROM {_HASHED.format('incoming')})),
+p AS (SELECT *, row_number() OVER (PARTITION BY file_path ORDER BY file_hash NULLS FIRST) AS q FROM f WHERE r = 1 OR hv IS NULL)
 SELECT file_hash, file_path, true AS known FROM images
-UNION ALL SELECT file_hash, file_path, false FROM f WHERE (r = 1 OR file_hash IS NULL)
-  AND (file_hash IS NULL OR file_hash NOT IN (SELECT file_hash FROM images WHERE file_hash IS NOT NULL)) AND file_path NOT IN (SELECT file_path FROM images WHERE file_path IS NOT NULL)"""
+UNION ALL SELECT file_hash, file_path, false FROM p WHERE (q = 1 OR file_path IS NULL)
+  AND (hv IS NULL OR hv NOT IN (SELECT hv FROM {_HASHED.format('images')} WHERE hv IS NOT NULL)) AND (file_path IS NULL OR file_path NOT IN (SELECT file_path FROM images WHERE file_path IS NOT NULL))"""
 )
 def append_build(spark, d):
     return library.append_build(table(spark, d, "images"), table(spark, d, "incoming"))
@@ -139,7 +149,7 @@ def usage_merged(spark, d):
 
 @query(
     rf"""WITH {_MERGED}, x AS (SELECT m.*, i.file_path, row_number() OVER (ORDER BY m.total_tiles DESC NULLS LAST, m.image_id) AS rank FROM merged m LEFT JOIN images i ON i.id = m.image_id)
-SELECT image_id, rank, 'rank' || CASE WHEN rank > 999999 THEN left(CAST(rank AS VARCHAR), 6) ELSE lpad(CAST(rank AS VARCHAR), 6, '0') END || '_' || total_runs || 'runs_' || total_tiles || 'tiles_id' || image_id || coalesce(regexp_extract(file_path, '(\.[^./\\]+)$', 1), '') AS file_name,
+SELECT image_id, rank, 'rank' || CASE WHEN rank < 10000 THEN lpad(CAST(rank AS VARCHAR), 4, '0') ELSE CAST(rank AS VARCHAR) END || '_' || total_runs || 'runs_' || total_tiles || 'tiles_id' || image_id || coalesce(regexp_extract(file_path, '(\.[^./\\]+)$', 1), '') AS file_name,
   file_path IS NOT NULL AS found FROM x"""
 )
 def usage_export(spark, d):
@@ -255,14 +265,6 @@ def worst_n(spark, d):
     return rounded(analysis.worst_tiles(table(spark, d, "winners"), 20))
 
 
-@query(
-    f"""WITH {_COUNTS}, b AS (SELECT image_id, count(*) AS n FROM winners WHERE image_id > 0 AND score >= 0.2 GROUP BY image_id)
-SELECT CASE WHEN i.avg_l < 60 THEN 'dark' WHEN c.n > 10 THEN 'popular' ELSE 'combined' END AS cause, CAST(sum(b.n) AS BIGINT) AS n FROM b JOIN c USING (image_id) LEFT JOIN images i ON i.id = b.image_id GROUP BY 1"""
-)
-def worst_causes(spark, d):
-    return analysis.worst_causes(table(spark, d, "winners"), table(spark, d, "images"), 0.2)
-
-
 @query(
     """WITH r AS (SELECT DISTINCT run_id, tile_idx, image_id FROM winners WHERE image_id > 0 AND tile_idx IS NOT NULL)
 SELECT run_id, tile_idx, image_id, count(*) OVER (PARTITION BY run_id, image_id ORDER BY tile_idx RANGE BETWEEN 300 PRECEDING AND 1 PRECEDING) AS recent, tile_idx - lag(tile_idx) OVER (PARTITION BY run_id, image_id ORDER BY tile_idx) AS gap FROM r"""
