@@ -113,6 +113,14 @@ def heatmap(winners: DataFrame) -> DataFrame:
     return rows.join(ends, "run_id").select("run_id", "tile_idx", heat.alias("heat")).withColumn("colour", F.when(F.col("heat") < 1 / 3, "green").when(F.col("heat") < 2 / 3, "yellow").otherwise("red"))
 
 
+def heat_ramp(heats: DataFrame) -> DataFrame:
+    """(run_id, tile_idx, b, g, r): the report's colours as the score grows: red to green in the first half, yellow to red in the second."""
+    t = F.col("heat")
+    level = lambda share: F.floor(255 * share).cast("int")
+    g = F.when(t < 0.5, level(t * 2)).otherwise(level(1 - (t - 0.5) * 2))
+    return heats.select("run_id", "tile_idx", F.lit(0).alias("b"), g.alias("g"), F.when(t < 0.5, level(1 - t * 2)).otherwise(F.lit(255)).alias("r"))
+
+
 def match_counters(winners: DataFrame, images: DataFrame) -> DataFrame:
     """One row: tiles, matched, without candidate (null or non-positive id), and pointing to images the library lacks."""
     per = winners.groupBy("image_id").agg(F.count("*").alias("n"), F.sum(F.col("gap").isNull().cast("bigint")).alias("no_gap"))

@@ -216,23 +216,60 @@ class CellIndex:
         spark.createDataFrame([(i, [float(v) for v in c]) for i, c in enumerate(self.centres)], "cell int, centre array<double>").write.mode("overwrite").parquet(f"{path}/centres")
 
     @classmethod
-    def load(cls, spark, path: str) -> CellIndex:
+    def load(cls, spark, path: str, expected: int | None = None) -> CellIndex:
+        """The saved index; ValueError if it doesn't hold the `expected` number of rows, as one made for another library wouldn't."""
         centres = spark.read.parquet(f"{path}/centres").orderBy("cell").toArrow()
-        return cls(_matrix(centres.column("centre")), spark.read.parquet(f"{path}/rows"))
+        rows = spark.read.parquet(f"{path}/rows")
+        if expected is not None and (held := rows.count()) != expected:
+            raise ValueError(f"index holds {held} rows, not {expected}")
+        return cls(_matrix(centres.column("centre")), rows)
 
     def search(self, queries: DataFrame, k: int, probes: int) -> DataFrame:
-        """(q, rank, id, distance): the k nearest among the rows of each query's `probes` nearest cells."""
-        from gridloom.functions.vectors import l2_squared
-
-        centres = self.centres
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                if len(b):
-                    near = np.argsort(_scores(_matrix(b.column(1)), centres, "l2"), axis=1, kind="stable")[:, :probes]
-                    q = np.repeat(np.arange(len(b)), near.shape[1])
-                    yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(q)), b.column(1).take(pa.array(q)), pa.array(near.ravel().astype(np.int32))], names=["q", "q_vec", "cell"])
-
-        asked = queries.where("vec IS NOT NULL").select("q", "vec").mapInArrow(run, "q bigint, q_vec array<float>, cell int")
-        near = asked.join(self.rows.where(~F.col("deleted")), "cell").where(F.col("q") != F.col("id"))
-        return top_k(near.select("q", "id", F.sqrt(l2_squared(F.col("vec"), F.col("q_vec"))).alias("distance")), k)
+        """(q, rank, id, distance): the k nearest among the rows of each query's `probes` nearest cells; a row of id q is left out.
+
+        A stated set of queries, BLOCK at a time: each task multiplies its rows of a cell with the queries that probe it and
+        keeps k rows a query. Rows of a saved index are read by cell, so cells nobody probes are not read."""
+        n = queries.count()
+        blocks = max(1, -(-n // BLOCK))
+        made = None
+        for i in range(blocks):
+            part = queries.where("vec IS NOT NULL AND q IS NOT NULL").select("q", "vec")
+            asked = (part.where(F.pmod(F.xxhash64("q"), F.lit(blocks)) == i) if blocks > 1 else part).toArrow()
+            if not len(asked):
+                continue
+            q, x = asked.column("q").to_numpy(), _matrix(asked.column("vec")).astype(float)
+            near = np.argsort(_scores(x, self.centres, "l2"), axis=1, kind="stable")[:, :probes]
+            by_cell = {int(c): np.flatnonzero((near == c).any(1)) for c in np.unique(near)}
+            shared = self.rows.sparkSession.sparkContext.broadcast((q, x, by_cell))
+
+            def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+                q, x, by_cell = shared.value
+                norm = (x**2).sum(1)
+                none = np.iinfo(np.int64).max
+                best_d, best_i = np.full((len(q), k), np.inf), np.full((len(q), k), none)
+                for b in batches:
+                    if not len(b):
+                        continue
+                    ids, rows, cells = b.column(0).to_numpy(), _matrix(b.column(1)).astype(float), b.column(2).to_numpy()
+                    for c in np.unique(cells):
+                        who = by_cell.get(int(c))
+                        if who is None:
+                            continue
+                        mine = np.flatnonzero(cells == c)
+                        for s in range(0, len(who), 2048):
+                            w = who[s : s + 2048]
+                            d = np.sqrt(np.maximum(norm[w, None] + (rows[mine] ** 2).sum(1)[None] - 2 * (x[w] @ rows[mine].T), 0))
+                            d[q[w, None] == ids[mine][None]] = np.inf
+                            all_d = np.concatenate([best_d[w], d], axis=1)
+                            all_i = np.concatenate([best_i[w], np.broadcast_to(ids[mine], d.shape)], axis=1)
+                            order = np.lexsort((all_i, all_d))[:, :k]
+                            best_d[w], best_i[w] = np.take_along_axis(all_d, order, 1), np.take_along_axis(all_i, order, 1)
+                at, n = np.nonzero(np.isfinite(best_d))
+                yield pa.RecordBatch.from_arrays([pa.array(q[at]), pa.array(best_i[at, n]), pa.array(best_d[at, n])], names=["q", "id", "distance"])
+
+            live = self.rows.where(~F.col("deleted") & F.col("cell").isin([int(c) for c in by_cell])).select("id", "vec", "cell")
+            found = live.mapInArrow(run, "q bigint, id bigint, distance double")
+            made = found if made is None else made.unionByName(found)
+        if made is None:
+            made = self.rows.select(F.col("id").alias("q"), "id", F.lit(0.0).alias("distance")).limit(0)
+        return top_k(made, k)

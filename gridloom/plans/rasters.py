@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gridloom.operators import pictures
 from gridloom.operators import pixels as px
 from gridloom.plans.tables import rounded
 from gridloom.session import shared_folder, table
@@ -57,6 +58,13 @@ def raster_features(spark, d):
     return rounded(px.image_features(raster(spark)), 4)
 
 
+@query(SQL["raster_features"])
+def raster_one_pass(spark, d):
+    """The same by one look at each whole picture, without pixel tables being shuffled again for every feature."""
+    names = ["image_id", "width", "height", "avg_l", "avg_a", "avg_b", "mean_brightness", "std_brightness", "contrast", "saturation", "color_variance"]
+    return rounded(pictures.features_of_pixels(raster(spark)).select(*names), 4)
+
+
 @query(f"WITH {_PIX} SELECT image_id, CAST((y // {HEIGHT // 8}) * 8 + x // {WIDTH // 8} AS INT) AS cell, round(avg(ll), 4) AS l, round(avg(la), 4) AS a, round(avg(lb2), 4) AS b FROM p GROUP BY ALL")
 def raster_grid8(spark, d):
     return rounded(px.grid_cells(raster(spark)), 4)
@@ -104,14 +112,14 @@ def tile_grid(spark, d):
     return px.tile_grid(spark, 340, 500, 9, 16)
 
 
-@query("SELECT file_hash FROM incoming WHERE file_hash IS NOT NULL GROUP BY file_hash")
+@query("SELECT file_hash, min(file_path) AS file_path FROM incoming WHERE file_hash IS NOT NULL GROUP BY file_hash")
 def stream_append(spark, d):
-    """The incoming files as a stream, one stored row per content."""
+    """The incoming files as a stream, one stored row per content: that of the least path."""
     folder = f"{shared_folder(spark).rstrip('/')}/append-{uuid.uuid4().hex}"
     schema = table(spark, d, "incoming").schema
     source = spark.readStream.schema(schema).parquet(f"{d}/incoming.parquet*").select("file_hash", "file_path")
     append_new(spark, source, f"{folder}/library", "file_hash", f"{folder}/state")
-    return spark.read.parquet(f"{folder}/library").select("file_hash")
+    return spark.read.parquet(f"{folder}/library").select("file_hash", "file_path")
 
 
 @query("SELECT run_id, category, count(*) AS n, min(loaded_at) AS first, max(loaded_at) AS last FROM winners GROUP BY ALL")

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.functions import vectors as v
-from gridloom.operators import analysis, nearest, selector
+from gridloom.operators import analysis, nearest, selector, upkeep
 from gridloom.operators.analysis import index_percentiles
 from gridloom.plans.tables import rounded
-from gridloom.session import cut, spread, table
+from gridloom.session import cut, shared_folder, spread, table
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -116,6 +118,40 @@ def knn_cells_recall(spark, d):
     return made
 
 
+@query(_knn_sql(_L2))
+def knn_index_reloaded(spark, d):
+    """A saved and reloaded index of 16 cells, its count checked, all of them probed."""
+    rows = _rows(spark, d)
+    path = f"{shared_folder(spark).rstrip('/')}/index-{uuid.uuid4().hex}"
+    nearest.CellIndex.build(rows, 16).save(path)
+    return rounded(nearest.CellIndex.load(spark, path, rows.where("vec IS NOT NULL").count()).search(_asked(spark, d), K, 16))
+
+
+_BYTES = "list_transform(embedding, lambda x: floor((x + 1) * 127))"
+
+
+@query(
+    f"""WITH e AS (SELECT vec_id, CAST({_BYTES} AS DOUBLE[]) AS b FROM embeddings), p AS (SELECT x.vec_id AS q, y.vec_id AS id, CAST(round(list_distance(x.b, y.b)**2) AS BIGINT) AS distance FROM e x JOIN e y ON x.vec_id <> y.vec_id WHERE x.vec_id % 20 = 0)
+SELECT q, CAST(rank AS INT) AS rank, id, distance FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY distance, id) AS rank FROM p) WHERE rank <= {K}"""
+)
+def knn_integer_l2(spark, d):
+    """Nearest rows of vectors stored as bytes, by whole-number squared distances."""
+    small = lambda df: df.withColumn("vec", F.transform("vec", lambda x: F.floor((x.cast("double") + 1) * 127).cast("float")))
+    got = nearest.knn(small(_rows(spark, d)), small(_asked(spark, d)), K)
+    return got.select("q", "rank", "id", F.round(F.col("distance") * F.col("distance")).cast("bigint").alias("distance"))
+
+
+@query(
+    f"""WITH p AS (SELECT a.vec_id AS q, b.vec_id AS id, row_number() OVER (PARTITION BY a.vec_id ORDER BY {_L2}, b.vec_id) AS r FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id),
+c AS (SELECT e.vec_id, count(p.id) AS n FROM embeddings e LEFT JOIN p ON p.id = e.vec_id AND p.r <= {K} GROUP BY e.vec_id)
+SELECT count(*) AS rows, min(n) AS least, max(n) AS most, count(*) FILTER (n = 0) AS "none" FROM c"""
+)
+def knn_in_degree(spark, d):
+    """How evenly rows are named as neighbours: every row asks for its nearest ones."""
+    rows = _rows(spark, d)
+    return upkeep.in_degrees(nearest.knn(rows, rows.select(F.col("id").alias("q"), "vec"), K), rows)
+
+
 # --- grids of images ----------------------------------------------------------------------------------------------------
 
 _GOOD = "len(g) = 192 AND list_min(g) >= 0 AND list_max(g) <= 255"

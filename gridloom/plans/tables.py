@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.functions.content import hash_value
-from gridloom.operators import analysis, library
+from gridloom.operators import analysis, library, upkeep
 from gridloom.session import table
 
 QUERIES: dict = {}
@@ -191,6 +191,24 @@ def pack_alignment(spark, d):
     return table(spark, d, "images").select("id", whole.alias("whole"), F.round(F.aggregate(grid, F.lit(0.0), lambda s, v: s + v), 1).alias("total"))
 
 
+@query(
+    """WITH old AS (SELECT id, count(*) AS c, min(edge_density) AS e FROM images WHERE feature_version <= 3 GROUP BY id)
+SELECT i.id, round(coalesce(o.e, i.edge_density), 6) AS edge_density, o.id IS NOT NULL AS reused FROM images i LEFT JOIN old o ON o.id = i.id"""
+)
+def pack_merge(spark, d):
+    """A pack brought up to date: rows of old versions are kept, the others come from the library."""
+    images = table(spark, d, "images")
+    pack = images.where("feature_version <= 3").select("id", "edge_density")
+    return rounded(upkeep.aligned_pack(upkeep.merged_pack(pack, images.select("id", "edge_density"), images), images))
+
+
+@query("SELECT id, strftime(created_at, '%Y-%m-%d %H:%M:%S') AS as_text, CAST(epoch(date_trunc('second', created_at)) AS BIGINT) AS seconds FROM images WHERE created_at IS NOT NULL")
+def time_forms(spark, d):
+    """Times as UTC text and as whole Unix seconds."""
+    at = F.col("created_at")
+    return table(spark, d, "images").where("created_at IS NOT NULL").select("id", F.date_format(at, "yyyy-MM-dd HH:mm:ss").alias("as_text"), F.unix_seconds(F.date_trunc("second", at).cast("timestamp")).alias("seconds"))
+
+
 @query(
     f"""SELECT p.probe_no AS q, count(*) AS n, CAST(count(*) FILTER (i.avg_l < 30) AS BIGINT) AS dark, CAST(count(*) FILTER (i.avg_l >= 30 AND i.avg_l < 70) AS BIGINT) AS mid,
   CAST(count(*) FILTER (i.avg_l >= 70) AS BIGINT) AS bright, round(min(i.avg_l), 6) AS min_l, round(max(i.avg_l), 6) AS max_l, round(avg(i.avg_l), 6) AS mean_l
@@ -282,6 +300,14 @@ def heatmap_minmax(spark, d):
     return rounded(analysis.heatmap(table(spark, d, "winners")))
 
 
+@query(
+    SQL["heatmap_minmax"].split("SELECT run_id, tile_idx, round(heat, 6)")[0]
+    + "SELECT run_id, tile_idx, 0 AS b, CAST(floor(255 * CASE WHEN heat < 0.5 THEN heat * 2 ELSE 1 - (heat - 0.5) * 2 END) AS INT) AS g, CASE WHEN heat < 0.5 THEN CAST(floor(255 * (1 - heat * 2)) AS INT) ELSE 255 END AS r FROM h"
+)
+def heat_colours(spark, d):
+    return analysis.heat_ramp(analysis.heatmap(table(spark, d, "winners")))
+
+
 @query(
     """SELECT count(*) AS tiles, count(i.id) AS matched, count(*) FILTER (coalesce(w.image_id, 0) <= 0) AS no_candidate, count(*) FILTER (w.image_id > 0 AND i.id IS NULL) AS load_fail, count(*) FILTER (w.gap IS NULL) AS no_gap
 FROM winners w LEFT JOIN images i ON i.id = w.image_id"""

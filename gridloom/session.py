@@ -30,11 +30,12 @@ def build_session(cores: int | str = "*", **conf: str) -> SparkSession:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a temporary one where that is unset (tests)."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not folder:
-        folder = spark.sparkContext.getCheckpointDir()
+    """The folder all executors share: spark.checkpoint.dir. Where that is unset, a temporary one, but only on one machine (tests);
+    on a cluster that would be a folder of the driver alone, so it is an error."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="gridloom-")
         _own_folders.append(folder)
         spark.conf.set("spark.checkpoint.dir", folder)
@@ -47,27 +48,47 @@ def _drop_own_folders() -> None:
         shutil.rmtree(folder, ignore_errors=True)
 
 
+#: Ask the driver to collect garbage after each written table, unless this setting of the session is false.
+COLLECT = "gridloom.collectGarbage"
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write df to a Parquet table in the shared folder and read it back: the lineage ends there and survives lost executors.
 
     What fed the table is no longer needed, but Spark drops its shuffle files only when the driver collects garbage, which a
-    driver with little to do seldom does; so it is asked to.
+    driver with little to do seldom does; so it is asked to, unless the session's setting COLLECT is false. Tables stay until
+    drop_cuts.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/cut-{uuid.uuid4().hex}"
     schema = df.schema
     df.write.parquet(path)
+    _cuts.append((spark, path))
     del df
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    if spark.conf.get(COLLECT, "true").lower() == "true":
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
     return spark.read.schema(schema).parquet(path)
 
 
+_cuts: list[tuple[SparkSession, str]] = []
+
+
+def drop_cuts() -> int:
+    """Deletes the tables cut so far by this process; call it when the results read from them are done with."""
+    dropped = 0
+    while _cuts:
+        spark, path = _cuts.pop()
+        place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        dropped += bool(place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True))
+    return dropped
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """df dealt over all cores if its files give fewer tasks than there are cores (small tables); larger inputs stay as read."""
+    """df dealt over all cores if it is read from fewer files than there are cores (small tables); others stay as read."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df

@@ -7,12 +7,14 @@ import struct
 import zlib
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.functions.output import BIG_TIFF_MIB
 from gridloom.operators.pixels import levels, pyramid
+from gridloom.sinks import jpeg
 
 
 def _chunk(kind: bytes, data: bytes) -> bytes:
@@ -37,9 +39,9 @@ def png_stream(rows: Iterable[bytes], width: int, height: int, level: int = 1) -
 def _lines(pixels: DataFrame) -> DataFrame:
     """(image_id, y, line): RGB bytes of each row; a row's pixels are bounded by the picture's width."""
     clip = [F.least(F.greatest(F.round(c), F.lit(0)), F.lit(255)).cast("int") for c in "rgb"]
-    triple = F.concat(*[F.unhex(F.lpad(F.hex(c), 2, "0")) for c in clip])
-    ordered = F.sort_array(F.collect_list(F.struct("x", triple.alias("p"))))
-    return pixels.groupBy("image_id", "y").agg(F.aggregate(ordered, F.lit(b""), lambda s, e: F.concat(s, e["p"])).alias("line"))
+    triple = F.concat(*[F.lpad(F.hex(c), 2, "0") for c in clip])
+    ordered = F.transform(F.sort_array(F.collect_list(F.struct("x", triple.alias("p")))), lambda e: e["p"])
+    return pixels.groupBy("image_id", "y").agg(F.unhex(F.array_join(ordered, "")).alias("line"))
 
 
 def write_png(pixels: DataFrame, path: str, width: int, height: int, level: int = 1) -> None:
@@ -50,33 +52,50 @@ def write_png(pixels: DataFrame, path: str, width: int, height: int, level: int
             out.write(part)
 
 
-def write_tiles(pixels: DataFrame, folder: str) -> DataFrame:
-    """Writes every (level, tile_y, tile_x) as folder/level/col_row.png on the executors (a folder all share) and returns what was
-    written (level, tile_x, tile_y, bytes). A tile's rows are bounded by the tile size; repeated tasks write the same bytes."""
+def jpeg_bytes(rgb: np.ndarray, quality: int = 90) -> bytes:
+    """A picture (height x width x RGB) as baseline JPEG without subsampling, encoded where it is, in numpy."""
+    return jpeg.encode(rgb, quality)
+
+
+def write_tiles(pixels: DataFrame, folder: str, fmt: str = "png", quality: int = 90) -> DataFrame:
+    """Writes every (level, tile_y, tile_x) as folder/level/col_row.png (or .jpg) on the executors (a folder all share) and returns
+    what was written (level, tile_x, tile_y, bytes). A tile's rows are bounded by the tile size; repeated tasks write the same bytes."""
 
     def write(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         level, ty, tx = (int(k) for k in key)
         pdf = pdf.sort_values(["y", "x"])
         width, height = int(pdf["x"].max() - pdf["x"].min() + 1), int(pdf["y"].max() - pdf["y"].min() + 1)
-        a = pdf[["r", "g", "b"]].round().clip(0, 255).to_numpy("uint8").reshape(height, width * 3)
-        data = b"".join(png_stream((r.tobytes() for r in a), width, height))
+        a = pdf[["r", "g", "b"]].round().clip(0, 255).to_numpy("uint8").reshape(height, width, 3)
+        data = jpeg_bytes(a, quality) if fmt == "jpg" else b"".join(png_stream((r.tobytes() for r in a), width, height))
         os.makedirs(f"{folder}/{level}", exist_ok=True)
         temp = f"{folder}/{level}/.{tx}_{ty}.{os.getpid()}"
         with open(temp, "wb") as out:
             out.write(data)
-        os.replace(temp, f"{folder}/{level}/{tx}_{ty}.png")
+        os.replace(temp, f"{folder}/{level}/{tx}_{ty}.{fmt}")
         return pd.DataFrame({"level": [level], "tile_x": [tx], "tile_y": [ty], "bytes": [len(data)]})
 
     return pixels.groupBy("level", "tile_y", "tile_x").applyInPandas(write, "level int, tile_x int, tile_y int, bytes bigint")
 
 
-def write_pyramid(pixels: DataFrame, folder: str, name: str, width: int, height: int, tile: int = 256) -> DataFrame:
-    """Deep-zoom pyramid: all levels' tiles under <name>_files and the manifest <name>.dzi."""
+VIEWER = """<!DOCTYPE html><meta charset="utf-8"><title>{name}</title><style>body{{margin:0;overflow:auto}}img{{position:absolute}}</style>
+<div id="v"></div><script>
+const W={width},H={height},T={tile},TOP={top};let level=Math.max(0,TOP-2);
+function show(){{const s=2**(TOP-level),w=Math.ceil(W/s),h=Math.ceil(H/s),v=document.getElementById("v");v.innerHTML="";
+for(let y=0;y*T<h;y++)for(let x=0;x*T<w;x++){{const i=new Image();i.src=`{name}_files/${{level}}/${{x}}_${{y}}.{fmt}`;i.style.left=x*T+"px";i.style.top=y*T+"px";i.loading="lazy";v.append(i)}}}}
+onkeydown=e=>{{if(e.key=="+"&&level<TOP)level++;if(e.key=="-"&&level>0)level--;show()}};show()
+</script>
+"""
+
+
+def write_pyramid(pixels: DataFrame, folder: str, name: str, width: int, height: int, tile: int = 256, fmt: str = "png") -> DataFrame:
+    """Deep-zoom pyramid: all levels' tiles under <name>_files, the manifest <name>.dzi, and a page to look at it (+ and - zoom)."""
     os.makedirs(folder, exist_ok=True)
-    done = write_tiles(pyramid(pixels, width, height, tile), f"{folder}/{name}_files").cache()
+    done = write_tiles(pyramid(pixels, width, height, tile), f"{folder}/{name}_files", fmt).cache()
     done.count()
     with open(f"{folder}/{name}.dzi", "w") as out:
-        out.write(f'<?xml version="1.0" encoding="UTF-8"?>\n<Image xmlns="http://schemas.microsoft.com/deepzoom/2008" Format="png" Overlap="0" TileSize="{tile}"><Size Width="{width}" Height="{height}"/></Image>\n')
+        out.write(f'<?xml version="1.0" encoding="UTF-8"?>\n<Image xmlns="http://schemas.microsoft.com/deepzoom/2008" Format="{fmt}" Overlap="0" TileSize="{tile}"><Size Width="{width}" Height="{height}"/></Image>\n')
+    with open(f"{folder}/{name}.html", "w") as out:
+        out.write(VIEWER.format(name=name, width=width, height=height, tile=tile, top=levels(width, height), fmt=fmt))
     return done
 
 

@@ -37,36 +37,68 @@ def image_pixels(spark: SparkSession, folder: str) -> DataFrame:
     return raw.mapInPandas(run, "origin string, y int, x int, b int, g int, r int")
 
 
+#: Bytes of files hashed side by side.
+TABLE = 64 << 20
+
+
+def content_digests(files: DataFrame) -> DataFrame:
+    """(path, length, digest): files with the SHA-256 of their bytes, made in the JVM: the key to tell contents apart by."""
+    return files.select("path", "length", F.sha2("content", 256).alias("digest"))
+
+
 def content_hashes(files: DataFrame) -> DataFrame:
-    """files with the decimal FNV-1a 64 of their bytes (vectorised over the files of a batch) and a SHA-256."""
+    """(path, length, file_hash): the decimal FNV-1a 64 of the files' bytes, for libraries that hold it. Each byte depends on the
+    one before, so it takes a step a byte (of all files of a batch at once); use content_digests where any key will do."""
 
     def run(batches):
         import numpy as np
 
         for b in batches:
-            sizes = np.array([len(c) for c in b["content"]])
-            h = np.full(len(b), 0xCBF29CE484222325, np.uint64)
+            sizes = np.array([len(c) for c in b["content"]], np.int64)
             order = np.argsort(-sizes, kind="stable")
-            arrays = [np.frombuffer(b["content"].iloc[i], np.uint8) for i in order]
-            left = len(order)
-            with np.errstate(over="ignore"):
-                for at in range(int(sizes.max()) if len(sizes) else 0):
-                    while left and len(arrays[left - 1]) <= at:
-                        left -= 1
-                    byte = np.fromiter((a[at] for a in arrays[:left]), np.uint64, left)
-                    h[order[:left]] = (h[order[:left]] ^ byte) * np.uint64(0x100000001B3)
+            h = np.full(len(b), 0xCBF29CE484222325, np.uint64)
+            start = 0
+            while start < len(order) and sizes[order[start]]:
+                # As many files, longest first, as fit in a table of bytes of bounded size; a step touches the first ones.
+                some = order[start : start + max(1, TABLE // int(sizes[order[start]]))]
+                start += len(some)
+                table = np.zeros((int(sizes[some[0]]), len(some)), np.uint8)
+                for at, i in enumerate(some):
+                    table[: sizes[i], at] = np.frombuffer(b["content"].iloc[i], np.uint8)
+                left = np.searchsorted(-sizes[some], -np.arange(len(table)), side="left")
+                state = h[some]
+                with np.errstate(over="ignore"):
+                    for at, n in enumerate(left):
+                        state[:n] = (state[:n] ^ table[at, :n]) * np.uint64(0x100000001B3)
+                h[some] = state
             yield b.drop(columns="content").assign(file_hash=[str(int(x)) for x in h])
 
     return files.select("path", "length", "content").mapInPandas(run, "path string, length bigint, file_hash string")
 
 
+#: Rows of a SQLite table a task reads.
+SLICE = 50_000
+
+
 def sqlite_table(spark: SparkSession, path: str, name: str, schema: str) -> DataFrame:
-    """A table of a SQLite library (a single-writer file read on the driver in batches of a bounded number of rows)."""
+    """A table of a SQLite library in a file all tasks can read: each task reads its slices of row ids; the driver only asks for
+    the ends of their range."""
     if not name.isidentifier():
         raise ValueError("not a table name")
-    with sqlite3.connect(f"file:{path}?mode=ro", uri=True) as db:
-        cursor = db.execute(f"SELECT {', '.join(c.split()[0] for c in schema.split(','))} FROM {name}")  # noqa: S608
-        made = spark.createDataFrame([], schema)
-        while rows := cursor.fetchmany(50_000):
-            made = made.unionByName(spark.createDataFrame(rows, schema))
-    return made
+    columns = [c.split()[0] for c in schema.split(",")]
+    address = f"file:{path}?mode=ro"
+    with sqlite3.connect(address, uri=True) as db:
+        low, high = db.execute(f"SELECT min(rowid), max(rowid) FROM {name}").fetchone()  # noqa: S608
+    if low is None:
+        return spark.createDataFrame([], schema)
+
+    def run(batches):
+        import pandas as pd
+
+        with sqlite3.connect(address, uri=True) as db:
+            for b in batches:
+                for start in b["id"]:
+                    rows = db.execute(f"SELECT {', '.join(columns)} FROM {name} WHERE rowid >= ? AND rowid < ?", (int(start), int(start) + SLICE)).fetchall()  # noqa: S608
+                    yield pd.DataFrame(rows, columns=columns, dtype=object)
+
+    return spark.range(low, high + 1, SLICE).mapInPandas(run, schema)

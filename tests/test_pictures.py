@@ -72,3 +72,50 @@ def test_command_line(spark, tmp_path, capsys):
     assert main(["stats", str(tmp_path)]) == 0 and json.loads(capsys.readouterr().out.splitlines()[0])["total"] == 2
     assert main(["inspect", str(tmp_path), "--l", "15"]) == 0 and json.loads(capsys.readouterr().out)["n"] == 1
     assert main(["inspect", str(tmp_path)]) == 1 and main(["usage", str(tmp_path), "--limit", "0"]) == 1 and main(["usage", str(tmp_path)]) == 2
+
+
+def test_jpeg_bytes_decode(spark, tmp_path):
+    from gridloom.sinks.raster import jpeg_bytes
+
+    rng = np.random.default_rng(1)
+    y, x = np.mgrid[:45, :61]
+    smooth = np.stack([x * 4 % 256, y * 5, (x + y) * 2], axis=-1).clip(0, 255).astype(np.uint8)
+    for name, a, quality, most in (("s", smooth, 90, 6), ("n", rng.integers(0, 256, (16, 24, 3)).astype(np.uint8), 100, 4), ("one", np.full((1, 1, 3), 90, np.uint8), 50, 6)):
+        (tmp_path / f"{name}.jpg").write_bytes(jpeg_bytes(a, quality))
+        r = spark.read.format("image").load(str(tmp_path / f"{name}.jpg")).select("image.*").first()
+        got = np.frombuffer(r.data, np.uint8).reshape(r.height, r.width, 3)[:, :, ::-1]
+        assert got.shape == a.shape and np.abs(got.astype(int) - a).mean() < most
+
+
+def test_pyramid_of_jpegs(spark, tmp_path):
+    from gridloom.sinks.raster import write_pyramid
+
+    write_pyramid(raster(spark).where("image_id = 2"), str(tmp_path), "p", 72, 128, 32, "jpg")
+    assert (tmp_path / "p_files/7/2_3.jpg").read_bytes()[:2] == b"\xff\xd8" and "p_files/${level}" in (tmp_path / "p.html").read_text() and 'Format="jpg"' in (tmp_path / "p.dzi").read_text()
+
+
+def test_sqlite_in_slices(spark, tmp_path, monkeypatch):
+    import sqlite3
+
+    from gridloom.sources import images
+
+    with sqlite3.connect(tmp_path / "l.db") as db:
+        db.execute("CREATE TABLE t (id INTEGER PRIMARY KEY, name TEXT)")
+        db.executemany("INSERT INTO t VALUES (?, ?)", [(i * 3, None if i % 5 == 0 else f"n{i}") for i in range(1, 40)])
+        db.execute("CREATE TABLE none (id INTEGER)")
+    monkeypatch.setattr(images, "SLICE", 10)
+    got = sorted((r.id, r.name) for r in images.sqlite_table(spark, str(tmp_path / "l.db"), "t", "id bigint, name string").collect())
+    assert got == [(i * 3, None if i % 5 == 0 else f"n{i}") for i in range(1, 40)] and images.sqlite_table(spark, str(tmp_path / "l.db"), "none", "id bigint").count() == 0
+
+
+def test_build_and_mosaic_by_command_line(spark, tmp_path, capsys):
+    from gridloom.__main__ import main
+    from tests.test_end_to_end import picture, save
+
+    for i in range(3):
+        save(str(tmp_path / f"in/{i}.png"), picture(i))
+    lib = str(tmp_path / "lib")
+    assert main(["build", "--input", str(tmp_path / "in"), "--output", lib, "--normalizeSize", "36x64"]) == 0
+    assert main(["mosaic", "--input", str(tmp_path / "in/1.png"), "--db", lib, "--output", str(tmp_path / "o.png"), "--outputTile", "9x16", "--tileW", "36", "--tileH", "64", "--adaptiveWeights"]) == 0
+    assert main(["db-stats", "--db", lib]) == 0 and json.loads(capsys.readouterr().out.splitlines()[-1])["stats"]["total"] == 3
+    assert main(["db-usage", "--limit", "0"]) == 1 and main(["mosaic", "--nope", "1"]) == 1 and main(["db-health", "--db", str(tmp_path / "none")]) == 2
