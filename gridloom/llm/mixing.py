@@ -47,3 +47,13 @@ def mixture_shares(mixed: DataFrame, sized: DataFrame, targets: DataFrame) -> Da
     both = want.join(got, "source", "left").fillna(0, ["docs", "most_copies", "tokens"])
     all_tokens = both.agg(F.sum("tokens").alias("all_tokens"))
     return both.crossJoin(F.broadcast(all_tokens)).select("source", "target_share", "max_repeats", "docs", "most_copies", "tokens", F.try_divide("tokens", "all_tokens").alias("actual_share"))
+
+
+def mixture_limits(shares: DataFrame, sized: DataFrame) -> DataFrame:
+    """(source, capped, on_target) of mixture_shares' rows: no document is used more often than allowed, and the tokens are within
+    two of the largest documents of the target's part of what is reachable; sources without documents have nothing."""
+    sums = shares.agg(F.sum(F.when(F.col("docs") > 0, F.col("target_share"))).alias("reachable"), F.sum("tokens").alias("all_tokens"))
+    most = sized.agg(F.max("n_tokens").alias("largest"))
+    wanted = F.when(F.col("docs") > 0, F.col("target_share") / F.col("reachable") * F.col("all_tokens")).otherwise(F.lit(0.0))
+    both = shares.crossJoin(F.broadcast(sums)).crossJoin(F.broadcast(most))
+    return both.select("source", (F.col("most_copies") <= F.col("max_repeats")).alias("capped"), (F.abs(F.col("tokens") - wanted) <= 2 * F.col("largest")).alias("on_target"))

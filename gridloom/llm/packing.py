@@ -110,8 +110,27 @@ def packs(
     return full.unionByName(packed)
 
 
-def pack_report(packed: DataFrame, capacities: DataFrame) -> DataFrame:
-    """(pack_name, capacity, packs, tokens, fill): how full the packs are."""
+def pack_report(packed: DataFrame, capacities: DataFrame, cost_share: float = COST_SHARE) -> DataFrame:
+    """(pack_name, capacity, packs, tokens, fill, by_cost): how full the packs are, and how many are over 95 % of the attention cost
+    while there is room for tokens, so that it was the cost that closed them."""
     caps = capacities.where("capacity > 0").groupBy("pack_name").agg(F.max("capacity").cast("bigint").alias("capacity"))
-    sums = packed.groupBy("pack_name", "pack_id").agg(F.sum("n_tokens").alias("n")).groupBy("pack_name").agg(F.count("*").alias("packs"), F.sum("n").alias("tokens"))
-    return sums.join(F.broadcast(caps), "pack_name").select("pack_name", "capacity", "packs", "tokens", (F.col("tokens") / (F.col("packs") * F.col("capacity"))).alias("fill"))
+    n = F.col("n_tokens")
+    each = packed.groupBy("pack_name", "pack_id").agg(F.sum(n).alias("n"), F.sum(n * n).alias("cost")).join(F.broadcast(caps), "pack_name")
+    closed = (F.col("cost") > F.lit(0.95 * cost_share) * F.col("capacity") * F.col("capacity")) & (F.col("n") < 0.99 * F.col("capacity"))
+    sums = each.groupBy("pack_name", "capacity").agg(F.count("*").alias("packs"), F.sum("n").alias("tokens"), F.count_if(closed).alias("by_cost"))
+    return sums.select("pack_name", "capacity", "packs", "tokens", (F.col("tokens") / (F.col("packs") * F.col("capacity"))).alias("fill"), "by_cost")
+
+
+def pack_limits(packed: DataFrame, sized: DataFrame, capacities: DataFrame, max_items: int = 64, cost_share: float = COST_SHARE) -> DataFrame:
+    """(pack_name, whole, capacity_kept, items_kept, cost_kept): whether all tokens are packed once, and whether every pack keeps
+    each limit (the cost one but for packs with a single item of any tokens)."""
+    caps = capacities.where("capacity > 0 AND pack_name IS NOT NULL").groupBy("pack_name").agg(F.max("capacity").cast("bigint").alias("capacity"))
+    n = F.col("n_tokens")
+    each = packed.groupBy("pack_name", "pack_id").agg(F.sum(n).alias("n"), F.count("*").alias("items"), F.count_if(n > 0).alias("filled"), F.sum(n * n).alias("cost")).join(F.broadcast(caps), "pack_name")
+    limit = F.lit(cost_share) * F.col("capacity") * F.col("capacity")
+    sums = each.groupBy("pack_name").agg(
+        F.sum("n").alias("packed"), F.min(F.col("n") <= F.col("capacity")).alias("capacity_kept"), F.min(F.col("items") <= max_items).alias("items_kept"),
+        F.min((F.col("cost") <= limit * (1 + 1e-9)) | (F.col("filled") <= 1)).alias("cost_kept"),
+    )
+    total = sized.agg(F.sum("n_tokens").alias("total"))
+    return sums.crossJoin(F.broadcast(total)).select("pack_name", (F.col("packed") == F.col("total")).alias("whole"), "capacity_kept", "items_kept", "cost_kept")

