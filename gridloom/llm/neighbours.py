@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -14,14 +15,25 @@ from gridloom.llm.imaging import bounded_sample, column, numbers, unpack, vector
 from gridloom.session import cut
 
 BITS = 64
-PARTS = 4
-WIDTH = BITS // PARTS
-#: Rows the rotation is learned from, at most.
+#: Rows the rotation and the reach of distances in bits are learned from, at most; of these, rows whose neighbours are looked at,
+#: and neighbours a row.
 SAMPLE = 16384
+LEARNERS = 4096
+LEARNED = 50
+#: Share of neighbours whose codes may lie beyond the radius a distance asks for.
+MISSED = 0.002
+#: Most bits flipped in a part while its index is probed; beyond, all rows are compared.
+FLIPS = 2
 #: Queries whose vectors are broadcast at once: 64 MB.
 BLOCK = 40_000
 
 
+def parts_for(n: int) -> list[int]:
+    """Widths of a code's parts: about log2 n bits each, so that a value of a part has few rows whatever the number of rows."""
+    count = max(2, min(8, round(BITS / max(8.0, math.log2(max(n, 2))))))
+    return [BITS // count] * (count - 1) + [BITS - BITS // count * (count - 1)]
+
+
 def feature_rows(b: pa.RecordBatch | pa.Table) -> np.ndarray:
     """The 194 numbers: avg_l / 255, the grid / 255, edge density."""
     vec = vectors_of(b) if isinstance(b, pa.Table) else unpack(column(b, "vec"))
@@ -48,13 +60,34 @@ def _encode(x: np.ndarray, mean: np.ndarray, w: np.ndarray) -> np.ndarray:
     return np.packbits(bits, axis=1, bitorder="little").view("<i8")[:, 0]
 
 
-def covered_radius(x: np.ndarray, mean: np.ndarray, w: np.ndarray, radius: int) -> np.ndarray:
-    """For each row, a distance that no row whose code is more than `radius` bits away is nearer than.
-
-    The projection only shortens distances, and where two signs differ the projected values are at least the row's own value
-    apart: so radius + 1 differing bits are at least the radius + 1 smallest values apart."""
-    least = np.sort(((x - mean) @ w) ** 2, axis=1)[:, : radius + 1]
-    return np.sqrt(least.sum(1))
+def learn_reach(x: np.ndarray, mean: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(distances, bits), both rising: of the sample's neighbours up to a distance, all but a share of MISSED had codes at most that
+    many bits apart. Beyond the last distance nothing is known."""
+    if len(x) < 2:
+        return np.zeros(0), np.zeros(0, int)
+    codes = _encode(x, mean, w).view(np.uint64)
+    norms = (x**2).sum(1)
+    apart, bits = [], []
+    step = max(1, len(x) // LEARNERS)
+    for s in range(0, len(x), 256 * step):
+        rows = np.arange(s, min(s + 256 * step, len(x)), step)
+        d = np.sqrt(np.maximum(norms[rows, None] + norms[None] - 2 * (x[rows] @ x.T), 0))
+        d[np.arange(len(rows)), rows] = np.inf
+        near = np.argpartition(d, min(LEARNED, len(x) - 1) - 1, axis=1)[:, : min(LEARNED, len(x) - 1)]
+        apart.append(np.take_along_axis(d, near, 1).ravel())
+        bits.append(np.bitwise_count(codes[rows][:, None] ^ codes[near]).ravel().astype(int))
+    d, h = np.concatenate(apart), np.concatenate(bits)
+    order = np.argsort(d, kind="stable")
+    d, h = d[order], h[order]
+    edge = np.unique(np.linspace(0, len(d), min(64, len(d)) + 1).astype(int))
+    bits = [int(np.ceil(np.quantile(h[a:b], 1 - MISSED))) for a, b in zip(edge[:-1], edge[1:])]
+    return d[edge[1:] - 1], np.maximum.accumulate(bits)
+
+
+def needed_bits(reach: tuple[np.ndarray, np.ndarray], distance: np.ndarray) -> np.ndarray:
+    """Bits within which rows at most `distance` away are expected; more than BITS where the sample says nothing."""
+    at = np.searchsorted(reach[0], distance, side="left")
+    return np.where(at < len(reach[0]), np.append(reach[1], BITS + 1)[np.minimum(at, len(reach[0]))], BITS + 1)
 
 
 def coded(comparable: DataFrame, mean: np.ndarray, w: np.ndarray) -> DataFrame:
@@ -67,30 +100,37 @@ def coded(comparable: DataFrame, mean: np.ndarray, w: np.ndarray) -> DataFrame:
     return comparable.select("id", "avg_l", "edge", "vec").mapInArrow(run, "id bigint, code bigint")
 
 
-def _part(code: F.Column, i: int) -> F.Column:
-    return F.shiftrightunsigned(code, WIDTH * i).bitwiseAND(F.lit((1 << WIDTH) - 1))
+def _part(code: F.Column, i: int, widths: list[int]) -> F.Column:
+    moved = F.shiftrightunsigned(code, sum(widths[:i])) if i else code
+    return moved if widths[i] == BITS else moved.bitwiseAND(F.lit((1 << widths[i]) - 1))
+
+
+def _parts(widths: list[int], code: str = "code") -> F.Column:
+    return F.array(*[F.struct(F.lit(i).alias("part"), _part(F.col(code), i, widths).alias("value")) for i in range(len(widths))])
 
 
-def _parts(code: str = "code") -> F.Column:
-    return F.array(*[F.struct(F.lit(i).alias("part"), _part(F.col(code), i).alias("value")) for i in range(PARTS)])
+def _masks(width: int, flips: int) -> list[int]:
+    return [sum(1 << b for b in bits) for n in range(flips + 1) for bits in combinations(range(width), n)]
 
 
-def within_radius(codes: DataFrame, queries: DataFrame, radius: int) -> DataFrame:
+def within_radius(codes: DataFrame, queries: DataFrame, radius: int, widths: list[int] | None = None) -> DataFrame:
     """(q, id): every code within `radius` bits of a query's code, each once.
 
-    queries: (q, own, code). Two codes within the radius differ in at most radius // PARTS bits of some part, so each query
+    queries: (q, own, code). Two codes within the radius differ in at most radius // parts bits of some part, so each query
     probes every value that near in the index of each part. A pair met in several parts counts in the first one only.
     """
-    near = radius // PARTS
-    masks = [sum(1 << b for b in bits) for n in range(near + 1) for bits in combinations(range(WIDTH), n)]
-    probe = queries.select("q", "own", F.col("code").alias("q_code"), F.inline(_parts()))
-    probe = probe.select("q", "own", "q_code", "part", "value", F.explode(F.lit(masks)).alias("mask")).withColumn("value", F.col("value").bitwiseXOR(F.col("mask"))).drop("mask")
-    index = codes.select("id", "code", F.inline(_parts()))
+    widths = widths or [16, 16, 16, 16]
+    near = radius // len(widths)
+    probe = queries.select("q", "own", F.col("code").alias("q_code"), F.inline(_parts(widths)))
+    by_part = F.array(*[F.array(*[F.lit(m).cast("bigint") for m in _masks(w, near)]) for w in sorted(set(widths))])
+    mask = F.explode(by_part[F.when(F.col("part") == len(widths) - 1, len(set(widths)) - 1).otherwise(0)] if len(set(widths)) > 1 else by_part[0])
+    probe = probe.select("q", "own", "q_code", "part", "value", mask.alias("mask")).withColumn("value", F.col("value").bitwiseXOR(F.col("mask"))).drop("mask")
+    index = codes.select("id", "code", F.inline(_parts(widths)))
     hit = probe.join(index, ["part", "value"])
     apart = F.col("code").bitwiseXOR(F.col("q_code"))
     first = F.lit(True)
-    for i in range(PARTS - 1):
-        first = first & ((F.col("part") <= i) | (F.bit_count(_part(apart, i)) > near))
+    for i in range(len(widths) - 1):
+        first = first & ((F.col("part") <= i) | (F.bit_count(_part(apart, i, widths)) > near))
     return hit.where((F.bit_count(apart) <= radius) & first & (F.col("id") != F.col("own"))).select("q", "id")
 
 
@@ -170,18 +210,22 @@ def _nearest(found: DataFrame, k: int) -> DataFrame:
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def nearest_images(comparable: DataFrame, asked: DataFrame, k: int = 10, radius: int = 11) -> DataFrame:
+def nearest_images(comparable: DataFrame, asked: DataFrame, k: int = 10) -> DataFrame:
     """(q, id, distance, rank): the k nearest comparable images of every asked one (q, own), itself excluded; ties to the smaller id.
 
     A rotation learned from at most SAMPLE rows turns each of the 194-number vectors into a 64-bit code; every row's code is
-    indexed by its four 16-bit parts. Each query retrieves all codes within `radius` bits and reranks them by exact distance.
-    That is the answer where the k-th distance is below covered_radius, within which no code can be missed. The other queries
-    are answered from all rows, block by block, within the k-th distance found. So the result is exact at any size. Null and unknown `own` ids have no
-    neighbours; repeated q count once. Queries are handled BLOCK at a time; only their vectors are broadcast.
+    indexed by its parts, whose width follows the number of rows. Queries probe with no, one, ... FLIPS bits of a part flipped,
+    that is a growing radius, and rerank what they retrieve by exact distance. A query is answered once it has k rows and
+    its k-th distance is one whose neighbours' codes, as learned from the sample, lie within the radius. Queries that find fewer
+    rows, or whose distance no radius left would do for, are of images without near ones; they are answered from all rows
+    within the k-th distance found, in blocks. Null and unknown `own` ids have no neighbours; repeated q count once. Queries are handled
+    BLOCK at a time; only their vectors are broadcast.
     """
     spark = comparable.sparkSession
-    sample = bounded_sample(comparable, SAMPLE, ["id", "avg_l", "edge", "vec"])
-    mean, w = learn_codes(feature_rows(sample))
+    widths = parts_for(comparable.count())
+    x = feature_rows(bounded_sample(comparable, SAMPLE, ["id", "avg_l", "edge", "vec"]))
+    mean, w = learn_codes(x)
+    reach_of = learn_reach(x, mean, w)
     codes = cut(coded(comparable, mean, w))
     asked = asked.where("q IS NOT NULL").groupBy("q").agg(F.min("own").alias("own"))
     queries = cut(asked.join(comparable.select(F.col("id").alias("own"), "avg_l", "edge", "vec"), "own"))
@@ -191,16 +235,32 @@ def nearest_images(comparable: DataFrame, asked: DataFrame, k: int = 10, radius:
     for i in range(blocks):
         block = queries.where(F.pmod(F.xxhash64("q"), F.lit(blocks)) == i) if blocks > 1 else queries
         vectors = block.toArrow()
-        pairs = within_radius(codes, block.select("q", "own").join(codes.withColumnRenamed("id", "own"), "own"), radius)
-        got = cut(_nearest(rerank(comparable, pairs, vectors), k))
-        last = got.where(F.col("rank") == k).select("q", "distance").toArrow()
-        known = dict(zip(last.column("q").to_pylist(), last.column("distance").to_pylist()))
-        reach = np.array([known.get(q, np.inf) for q in vectors.column("q").to_pylist()])
-        open_ = np.flatnonzero(~(reach < covered_radius(feature_rows(vectors), mean, w, radius) * (1 - 1e-9)))
-        if len(open_):
-            rest = vectors.take(pa.array(open_))
-            scanned = scan_block(comparable, rest, k, reach[open_] * (1 + 1e-9))
-            short = spark.createDataFrame(rest.select(["q"]))
-            got = got.join(short, "q", "left_anti").unionByName(_nearest(scanned, k))
-        result = got if result is None else result.unionByName(got)
-    return result
+        q_all = vectors.column("q").to_numpy()
+        kth = np.full(len(vectors), np.inf)
+        left = np.arange(len(vectors))
+        rungs = [len(widths) * (f + 1) - 1 for f in range(FLIPS + 1)]
+        # A radius that even the nearest neighbours of the sample need more than answers nothing.
+        rungs = [r for r in rungs if not len(reach_of[1]) or r >= reach_of[1][0]] or rungs[-1:]
+        for radius in rungs:
+            if not len(left):
+                break
+            now = spark.createDataFrame(vectors.select(["q", "own"]).take(pa.array(left)))
+            pairs = within_radius(codes, now.join(codes.withColumnRenamed("id", "own"), "own"), radius, widths)
+            got = cut(_nearest(rerank(comparable, pairs, vectors.take(pa.array(left))), k))
+            last = got.where(F.col("rank") == k).select("q", "distance").toArrow()
+            at = dict(zip(q_all[left].tolist(), left.tolist()))
+            where = [at[q] for q in last.column("q").to_pylist()]
+            kth[where] = last.column("distance").to_numpy()
+            bits = needed_bits(reach_of, kth)
+            done = left[bits[left] <= radius]
+            answered = spark.createDataFrame(vectors.select(["q"]).take(pa.array(done)))
+            part = got.join(answered, "q", "left_semi")
+            result = part if result is None else result.unionByName(part)
+            left = left[bits[left] > radius]
+            # Probing on is of use where k rows are there and their distance is within the reach of a larger radius.
+            stop = left[bits[left] > rungs[-1]]
+            if len(stop):
+                scanned = scan_block(comparable, vectors.take(pa.array(stop)), k, kth[stop] * (1 + 1e-9))
+                result = result.unionByName(_nearest(scanned, k))
+                left = np.setdiff1d(left, stop)
+    return result if result is not None else _nearest(scan_block(comparable, queries.limit(0).toArrow(), k), k)
