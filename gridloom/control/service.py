@@ -105,7 +105,7 @@ class Service:
         done = mosaic.make_mosaic(
             self.spark, request["inputPath"], place, request["outputPath"], request["tileW"], request["tileH"], request["outW"], request["outH"], request["upscale"], request["nativeTileW"], request["nativeTileH"],
             request["candidates"], request["topNrandom"], request["neighborWindow"], request["neighborPenalty"], request["adaptiveWeights"], weights, request["usePenalty"], request["format"] or None, request["pngLevel"],
-            request["colorStrength"] if request["colorAdjust"] else 0.0,
+            request["colorStrength"] if request["colorAdjust"] else 0.0, report=request["analyze"],
         )
         if request["analyze"]:
             self.record_usage(place, request["outputPath"], done["target_hash"])

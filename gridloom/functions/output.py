@@ -53,12 +53,22 @@ def fitted(width: int, height: int, fmt: str, explicit: bool) -> tuple[int, int,
     return max(1, int(width * scale)), max(1, int(height * scale)), fmt
 
 
-def streams(width: int, height: int, fmt: str, mode: str = "auto") -> bool:
-    """Whether rows are written one by one instead of from a whole picture."""
+def streams(width: int, height: int, fmt: str, mode: str = "auto", free_bytes: int | None = None) -> bool:
+    """Whether rows are written one by one instead of from a whole picture: large ones, unless asked otherwise; where the free memory
+    is known, auto streams only if it is less than twice the picture."""
     if mode not in ("auto", "stream", "batch"):
         raise ValueError("writeMode must be auto, stream, or batch")
-    large = width * height * 3 / 2**20 > STREAM_MIB
-    return fmt in ("png", "tiff", "jpg") and large and mode != "batch"
+    raw = width * height * 3
+    if fmt not in ("png", "tiff", "jpg") or raw / 2**20 <= STREAM_MIB or mode == "batch":
+        return False
+    return mode == "stream" or free_bytes is None or free_bytes < 2 * raw
+
+
+def checked_sides(width: int, height: int) -> tuple[int, int]:
+    """The sides, if each and a row of pixels can be counted in 31 bits; ValueError otherwise."""
+    if min(width, height) < 1 or max(width * 3, height) >= 2**31:
+        raise ValueError(f"output of {width} x {height} pixels is too large")
+    return width, height
 
 
 def export_name(rank: int, runs: int, tiles: int, image_id: int, extension: str) -> str:

@@ -12,11 +12,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.functions import vectors as v
-from gridloom.functions.output import fitted, output_format
+from gridloom.functions.output import checked_sides, fitted, output_format
 from gridloom.operators import nearest, selector
 from gridloom.operators.pictures import FEATURES, _bgr, decoded, features, lab_plane, resized
 from gridloom.session import cut
 from gridloom.sinks.raster import png_stream, tiff_stream
+from gridloom.sinks.report import write_report
 
 # Weights of colour, layout, thumbnail, edges and texture where they don't follow the tile's category.
 WEIGHTS = (0.20, 0.45, 0.25, 0.05, 0.05)
@@ -104,9 +105,12 @@ def pasted(winners: DataFrame, pictures: DataFrame, nx: int, native_w: int, nati
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         band = np.zeros((native_h, nx, native_w, 3), np.uint8)
+        made: dict[int, np.ndarray] = {}  # images of the band in the tile's size, each made once
         for r in pdf.itertuples(index=False):
             if r.data is not None:
-                tile = resized(_bgr(r.data, r.width, r.height, r.channels), native_w, native_h)
+                if r.image_id not in made:
+                    made[r.image_id] = resized(_bgr(r.data, r.width, r.height, r.channels), native_w, native_h)
+                tile = made[r.image_id]
                 if strength:
                     tile = jittered_picture(tile, 1 + ((int(r.tile) * 7919 + seed * 104_729) % 1001 - 300) / 1000 * strength)
                 band[:, int(r.tile) % nx] = tile
@@ -143,12 +147,12 @@ def write_bands(bands: DataFrame, path: str, width: int, band_h: int, ny: int, f
 def make_mosaic(
     spark: SparkSession, target: str, library_folder: str, path: str, tile_w: int = 9, tile_h: int = 16, out_w: int = 0, out_h: int = 0, upscale: int = 0,
     native_w: int = 180, native_h: int = 320, candidates: int = 150, top: int = 10, window: int = 0, penalty: float = REPEAT_PENALTY, adaptive: bool = False,
-    weights: tuple[float, ...] = WEIGHTS, use_penalty: float = USE_PENALTY, fmt: str | None = None, level: int = 1, strength: float = 0.0, seed: int = 0,
+    weights: tuple[float, ...] = WEIGHTS, use_penalty: float = USE_PENALTY, fmt: str | None = None, level: int = 1, strength: float = 0.0, seed: int = 0, report: bool = False,
 ) -> dict:
     """Rebuilds the target picture from the library in library_folder and writes it (PNG or TIFF) to path.
 
     Returns the size, the counts of tiles and distinct images, the target's hash, the seconds of each phase and warnings. The
-    winners are left in <path>.winners as a table (tile, image_id, score). Raises ValueError for a path that is a folder, a
+    winners are left in <path>.winners as a table (tile, image_id, score), a report if asked for in <path>_analysis. Raises ValueError for a path that is a folder, a
     target that can't be read, or an empty library.
     """
     if os.path.isdir(path):
@@ -180,6 +184,7 @@ def make_mosaic(
     asked = found.select(F.lit(0).cast("bigint").alias("run_id"), "tile", F.col("id").alias("image_id"), "score", F.col("grid4x4").alias("grid"))
     chosen = cut(selector.greedy_choice(asked, window or selector.auto_window(nx, size), tiles_x=nx, penalty=penalty, top=top, seed=seed))
     phase("choose")
+    checked_sides(nx * native_w, ny * native_h)
     _, _, kind = fitted(nx * native_w, ny * native_h, output_format(path, fmt), bool(fmt))
     if kind not in ("png", "tiff"):
         kind = "tiff"
@@ -191,6 +196,9 @@ def make_mosaic(
     write_bands(bands, path, nx * native_w, native_h, ny, kind, level)
     phase("paste")
     chosen.select("tile", "image_id", "score").write.mode("overwrite").parquet(f"{path}.winners")
+    if report:
+        write_report(found, chosen, f"{path}_analysis", nx, ny)
+        phase("report")
     return {
         "width": nx * native_w, "height": ny * native_h, "format": kind, "tiles": nx * ny, "matched": chosen.count(), "images": used.count(), "target_hash": target_hash(picture.tobytes()),
         "seconds": seconds, "warnings": warnings,

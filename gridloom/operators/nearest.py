@@ -68,7 +68,7 @@ def scan(rows: DataFrame, queries: DataFrame, metric: str, k: int | None = None,
 
         def run(batches: Iterator[pa.RecordBatch], shared: object = shared) -> Iterator[pa.RecordBatch]:
             qs, qx = shared.value
-            step = max(64, 2_000_000 // len(qs))
+            step = max(64, 6_000_000 // len(qs))
             kept: list[tuple[np.ndarray, ...]] = []
             worst = np.full(len(qs), np.inf)
 
@@ -91,10 +91,13 @@ def scan(rows: DataFrame, queries: DataFrame, metric: str, k: int | None = None,
                     rough = _scores(qx, x, metric)
                     limit = np.full(len(qs), np.inf if eps is None else eps) if k is None else worst
                     bound = limit**2 if metric == "l2" else limit
+                    if k is not None and len(ids) > k + 1 and not np.isfinite(bound).all():
+                        # A query has k rows of this batch at least this near (one more in case it meets itself).
+                        bound = np.minimum(bound, np.partition(rough, k, axis=1)[:, k] * (1 + 1e-9) + 1e-9)
                     q, r = np.nonzero(rough <= np.where(np.isfinite(bound), bound, np.inf)[:, None] + 1e-6)
                     keep = qs[q] != ids[r]
                     q, r = q[keep], r[keep]
-                    d = _exact(qx[q], x[r], metric) if len(q) else np.zeros(0)
+                    d = np.concatenate([_exact(qx[q[t : t + 20_000]], x[r[t : t + 20_000]], metric) for t in range(0, len(q), 20_000)]) if len(q) else np.zeros(0)
                     if eps is not None:
                         within = d <= eps
                         q, r, d = q[within], r[within], d[within]

@@ -319,28 +319,42 @@ def _library(spark: SparkSession, d: str) -> DataFrame:
     return cut(lib.withColumn("vec", vec))
 
 
+def _scored(lib: DataFrame, tiles: DataFrame) -> DataFrame:
+    """tiles (tile, t_id, features) with their nearest library rows, distances and scores."""
+    near = nearest.knn(lib.select("id", "vec"), tiles.groupBy("t_id").agg(F.first("vec").alias("vec")).select(F.col("t_id").alias("q"), "vec"), CANDIDATES)
+    pairs = near.select(F.col("q").alias("t_id"), "id", F.col("rank").alias("ann_rank")).join(tiles.select("tile", "t_id"), "t_id").select("tile", "id", "ann_rank")
+    return selector.scored_pairs(lib, tiles, pairs, WEIGHTS, USE_PENALTY).withColumnRenamed("id", "image_id")
+
+
+def _probe_tiles(spark: SparkSession, d: str, lib: DataFrame) -> DataFrame:
+    return cut(table(spark, d, "knn_probes").select(F.col("probe_no").alias("tile"), F.col("image_id").alias("t_id")).join(lib.withColumnRenamed("id", "t_id"), "t_id"))
+
+
 def _candidates(spark: SparkSession, d: str) -> DataFrame:
     """Tiles (the probes' images) with their nearest library rows, both rows' features, and the score."""
     lib = _library(spark, d)
-    tiles = cut(table(spark, d, "knn_probes").select(F.col("probe_no").alias("tile"), F.col("image_id").alias("t_id")).join(lib.withColumnRenamed("id", "t_id"), "t_id"))
-    near = nearest.knn(lib.select("id", "vec"), tiles.groupBy("t_id").agg(F.first("vec").alias("vec")).select(F.col("t_id").alias("q"), "vec"), CANDIDATES)
-    left = tiles.select("tile", F.col("t_id").alias("q"), *[F.col(c).alias(f"t_{c}") for c in ("avg_l", "avg_a", "avg_b", "edge_density", "g")])
-    both = near.select("q", F.col("id"), F.col("rank").alias("ann_rank")).join(left, "q").join(lib.drop("vec", "file_hash"), "id")
-    distances = {
-        "lab": v.lab_distance(F.col("t_avg_l"), F.col("t_avg_a"), F.col("t_avg_b"), F.col("avg_l"), F.col("avg_a"), F.col("avg_b")),
-        "grid": v.grid_distance(F.col("t_g"), F.col("g")),
-        "edge": F.abs(F.col("t_edge_density") - F.col("edge_density")),
-    }
-    both = both.select("tile", F.col("id").alias("image_id"), "ann_rank", "use_count", "g", "t_g", "t_avg_l", *[c.alias(k) for k, c in distances.items()])
-    return both.withColumn("score", selector.weighted_score({k: F.col(k) for k in WEIGHTS}, WEIGHTS, F.col("use_count"), USE_PENALTY))
+    tiles = _probe_tiles(spark, d, lib)
+    both = _scored(lib, tiles).join(lib.select(F.col("id").alias("image_id"), "g"), "image_id")
+    return both.join(tiles.select("tile", F.col("g").alias("t_g"), F.col("avg_l").alias("t_avg_l")), "tile")
 
 
 @query(f"WITH {_MATCH} SELECT tile, image_id, CAST(ann_rank AS INT) AS ann_rank, CAST(rank AS INT) AS rank, round(score, 6) AS score, round(gap, 6) AS gap FROM r WHERE rank <= {K}")
 def rerank_two_stage(spark, d):
-    got = selector.ranked_candidates(_candidates(spark, d)).where(F.col("rank") <= K)
+    lib = _library(spark, d)
+    got = selector.ranked_candidates(_scored(lib, _probe_tiles(spark, d, lib))).where(F.col("rank") <= K)
     return rounded(got.select("tile", "image_id", "ann_rank", "rank", "score", "gap"))
 
 
+@query()
+def rerank_used_images(spark, d):
+    """The best of its nearest rows for every image that a winner names: the two stages at the size of a whole target."""
+    lib = _library(spark, d)
+    used = table(spark, d, "winners").where("image_id > 0").select(F.col("image_id").alias("t_id")).distinct()
+    tiles = cut(used.join(lib.withColumnRenamed("id", "t_id"), "t_id").withColumn("tile", F.col("t_id")))
+    best = _scored(lib, tiles).groupBy("tile").agg(F.min(F.struct("score", "image_id", "ann_rank")).alias("m"))
+    return rounded(best.select("tile", "m.image_id", "m.ann_rank", "m.score"))
+
+
 @query(
     f"""WITH {_MATCH.split("near AS")[0]}c AS MATERIALIZED (SELECT t.tile, l.id AS image_id, l.use_count, sqrt((t.avg_l - l.avg_l)**2 + (t.avg_a - l.avg_a)**2 + (t.avg_b - l.avg_b)**2) / 100 AS lab, abs(t.edge_density - l.edge_density) AS edge, t.g AS g, l.g AS yg FROM t JOIN lib l ON l.id <> t.id),
 s AS (SELECT tile, image_id, (0.20 * lab + 0.45 * list_sum(list_transform(range(64), lambda i: sqrt({_terms(_SQ)}) * {_W}[i+1])) / 6400 + 0.05 * edge) / 0.70 + coalesce(use_count, 0) * 0.01 AS score FROM c)

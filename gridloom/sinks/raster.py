@@ -36,6 +36,69 @@ def png_stream(rows: Iterable[bytes], width: int, height: int, level: int = 1) -
     yield _chunk(b"IDAT", packer.flush()) + _chunk(b"IEND", b"")
 
 
+def png_bytes(rgb: np.ndarray, level: int = 1) -> bytes:
+    """A whole picture (height x width x RGB) as PNG in memory."""
+    return b"".join(png_stream((r.tobytes() for r in np.ascontiguousarray(rgb)), rgb.shape[1], rgb.shape[0], level))
+
+
+def lzw_bytes(data: bytes) -> bytes:
+    """TIFF's LZW of a strip: codes of 9 to 12 bits, one bit earlier than full, a fresh table every 4,094 codes."""
+    out, value, held = bytearray(), 0, 0
+    table = {bytes([i]): i for i in range(256)}
+    size, following = 9, 258
+
+    def put(code: int) -> None:
+        nonlocal value, held
+        value, held = (value << size) | code, held + size
+        while held >= 8:
+            out.append(value >> (held - 8) & 0xFF)
+            held -= 8
+        value &= (1 << held) - 1
+
+    put(256)
+    word = b""
+    for byte in data:
+        longer = word + bytes([byte])
+        if longer in table:
+            word = longer
+            continue
+        put(table[word])
+        table[longer] = following
+        following += 1
+        if following == 4095:
+            put(256)
+            table = {bytes([i]): i for i in range(256)}
+            size, following = 9, 258
+        elif following + 1 > 1 << size:
+            size += 1
+        word = bytes([byte])
+    if word:
+        put(table[word])
+        following += 1
+        if following + 1 > 1 << size and size < 12:
+            size += 1
+    put(257)
+    if held:
+        out.append(value << (8 - held) & 0xFF)
+    return bytes(out)
+
+
+def tiff_lzw(rgb: np.ndarray) -> bytes:
+    """A whole picture (height x width x RGB) as TIFF with one LZW strip a row: for pictures below the limit for it."""
+    height, width = rgb.shape[:2]
+    strips = [lzw_bytes(r.tobytes()) for r in np.ascontiguousarray(rgb)]
+    tags = [(256, 4, 1, width), (257, 4, 1, height), (258, 3, 3, None), (259, 3, 1, 5), (262, 3, 1, 2), (273, 4, height, None), (277, 3, 1, 3), (278, 4, 1, 1), (279, 4, height, None), (284, 3, 1, 1)]
+    after = 8 + 2 + 12 * len(tags) + 4
+    data_at = after + 8 + 8 * height
+    starts = np.cumsum([data_at, *[len(s) for s in strips[:-1]]]).tolist()
+    if height == 1:
+        place = {258: after, 273: starts[0], 279: len(strips[0])}
+    else:
+        place = {258: after, 273: after + 8, 279: after + 8 + 4 * height}
+    head = struct.pack("<2sHIH", b"II", 42, 8, len(tags)) + b"".join(struct.pack("<HHI", t, f, c) + (struct.pack("<HH", v, 0) if f == 3 and v is not None else struct.pack("<I", place[t] if v is None else v)) for t, f, c, v in tags)
+    return head + struct.pack("<I", 0) + struct.pack("<HHHH", 8, 8, 8, 0) + struct.pack(f"<{height}I", *starts) + struct.pack(f"<{height}I", *[len(s) for s in strips]) + b"".join(strips)
+
+
 def _lines(pixels: DataFrame) -> DataFrame:
     """(image_id, y, line): RGB bytes of each row; a row's pixels are bounded by the picture's width."""
     clip = [F.least(F.greatest(F.round(c), F.lit(0)), F.lit(255)).cast("int") for c in "rgb"]

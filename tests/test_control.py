@@ -116,6 +116,7 @@ def test_service(spark, tmp_path):
         used = call("usage", "", {"db": lib, "unused": "1"})[1]["usage"]
         assert used["total"] == 4 and all(t["runs"] == runs for t in used["top"]) and used["unusedCount"] == 4 - len(used["top"]) == len(used["unusedPreview"])
     assert sum(t["tiles"] for t in used["top"]) == 4
+    assert (tmp_path / "o.tiff_analysis/heatmap.png").exists() and len((tmp_path / "o.tiff_analysis/worst.txt").read_text().splitlines()) == 2
     health = call("health", "", {"db": lib})[1]["health"]
     assert health["usage"]["unusedCount"] == used["unusedCount"] and len(health["recommendations"]) >= 0
     assert call("export", json.dumps({"dbPath": lib, "outputDir": str(tmp_path / "ex")}))[0] == 400

@@ -119,3 +119,29 @@ def test_build_and_mosaic_by_command_line(spark, tmp_path, capsys):
     assert main(["mosaic", "--input", str(tmp_path / "in/1.png"), "--db", lib, "--output", str(tmp_path / "o.png"), "--outputTile", "9x16", "--tileW", "36", "--tileH", "64", "--adaptiveWeights"]) == 0
     assert main(["db-stats", "--db", lib]) == 0 and json.loads(capsys.readouterr().out.splitlines()[-1])["stats"]["total"] == 3
     assert main(["db-usage", "--limit", "0"]) == 1 and main(["mosaic", "--nope", "1"]) == 1 and main(["db-health", "--db", str(tmp_path / "none")]) == 2
+
+
+def test_lzw(spark, tmp_path):
+    from gridloom.sinks.raster import png_bytes, tiff_lzw
+
+    rng = np.random.default_rng(5)
+    wide = np.concatenate([rng.integers(0, 256, (2, 9000, 3)), np.zeros((1, 9000, 3))]).astype(np.uint8)
+    jvm = spark.sparkContext._jvm
+    for name, a in (("wide", wide), ("one", np.full((1, 1, 3), 7, np.uint8)), ("small", rng.integers(0, 4, (40, 30, 3)).astype(np.uint8))):
+        for kind, data in (("tif", tiff_lzw(a)), ("png", png_bytes(a))):
+            (tmp_path / f"{name}.{kind}").write_bytes(data)
+            picture = jvm.javax.imageio.ImageIO.read(jvm.java.io.File(str(tmp_path / f"{name}.{kind}")))
+            assert (picture.getWidth(), picture.getHeight()) == (a.shape[1], a.shape[0])
+            for y, x in ((0, 0), (a.shape[0] - 1, a.shape[1] - 1), (a.shape[0] // 2, a.shape[1] // 3), (0, a.shape[1] - 1)):
+                assert picture.getRGB(x, y) & 0xFFFFFF == int(a[y, x, 0]) << 16 | int(a[y, x, 1]) << 8 | int(a[y, x, 2])
+
+
+def test_output_rules():
+    import pytest
+
+    from gridloom.functions.output import checked_sides, export_name, streams
+
+    assert not streams(100, 100, "png") and streams(30_000, 30_000, "png") and not streams(30_000, 30_000, "png", free_bytes=2**40) and streams(30_000, 30_000, "png", "stream", 2**40) and not streams(30_000, 30_000, "webp")
+    assert checked_sides(5, 6) == (5, 6) and export_name(7, 1, 2, 3, ".png") == "rank0007_1runs_2tiles_id3.png" and export_name(12345678, 1, 2, 3, "").startswith("rank12345678_")
+    with pytest.raises(ValueError):
+        checked_sides(2**30, 5)
