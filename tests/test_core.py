@@ -311,6 +311,35 @@ def test_cut_keeps_rows_and_schema(spark):
     assert cut(df).schema == df.schema and sorted(cut(df).collect()) == sorted(df.collect())
 
 
+def test_cuts_can_be_dropped(spark):
+    import os
+
+    from gridloom import session
+
+    held = list(session._cuts)
+    session._cuts.clear()
+    df = cut(spark.range(5).toDF("a"))
+    place = session._cuts[0][1]
+    assert df.count() == 5 and os.path.isdir(place) and session.drop_cuts() == 1 and not os.path.exists(place) and session.drop_cuts() == 0
+    session._cuts.extend(held)
+
+
+def test_no_machine_folder_on_a_cluster(monkeypatch):
+    from types import SimpleNamespace
+
+    from gridloom import session
+
+    none = SimpleNamespace(get=lambda *a: None)
+    for master, fine in (("local[2]", True), ("local", True), ("local-cluster[2,1,1024]", False), ("spark://host:7077", False), ("yarn", False)):
+        context = SimpleNamespace(master=master, getConf=lambda: none, getCheckpointDir=lambda: None)
+        fake = SimpleNamespace(conf=SimpleNamespace(get=lambda *a: None, set=lambda *a: None), sparkContext=context)
+        if fine:
+            assert session.shared_folder(fake).rpartition("/")[2].startswith("gridloom-")
+        else:
+            with pytest.raises(RuntimeError):
+                session.shared_folder(fake)
+
+
 def test_entry(spark):
     import __spark_entry__ as e
 
