@@ -33,7 +33,8 @@ def surviving_records(df: DataFrame, group: Column, fields: dict[str, Column], t
     base = df.select(group.alias("g"), vote.alias("vote"), tie.alias("tie"), *[v.cast("string").alias(f"f_{k}") for k, v in fields.items()]).where("g IS NOT NULL")
     unit = F.array(F.struct(F.lit("").alias("field"), F.lit("").alias("value")), *[F.struct(F.lit(k).alias("field"), F.col(f"f_{k}").alias("value")) for k in fields])
     long = base.select("g", "vote", "tie", F.inline(unit)).where("value IS NOT NULL")
-    votes = long.groupBy("g", "field", "value").agg(F.sum("vote").alias("votes"), F.max("tie").alias("tie"), F.count("*").alias("n"))
+    # A sum of BIGINTs would overflow where a content has hundreds of thousands of records.
+    votes = long.groupBy("g", "field", "value").agg(F.sum(F.col("vote").cast("decimal(20,0)")).alias("votes"), F.max("tie").alias("tie"), F.count("*").alias("n"))
     chosen = [
         F.max_by(F.when(F.col("field") == k, F.col("value")), F.when(F.col("field") == k, F.struct("votes", "tie", "value"))).alias(k)
         for k in fields

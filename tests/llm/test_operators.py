@@ -211,6 +211,12 @@ def test_survivors(spark):
     assert survivors.surviving_records(df.limit(0), F.col("grp"), {"keep": F.col("id")}, F.col("trust"), decay, F.struct("id")).count() == 0
 
 
+def test_votes_beyond_64_bits(spark):
+    df = spark.createDataFrame([(i, "g", "a" if i < 3 else "b") for i in range(4)], "id long, grp string, name string")
+    got = survivors.surviving_records(df, F.col("grp"), {"keep": F.col("id"), "name": F.col("name")}, F.lit(9e9), F.lit(1.0), F.struct((-F.col("id")).alias("i"))).collect()
+    assert [(r.g, r.records, r.keep, r["name"]) for r in got] == [("g", 4, "0", "a")]
+
+
 def test_history(spark, tmp_path):
     path = lambda n: [("place", 2**40 + 7, x) for x in n]
     old = spark.createDataFrame([*path(["a/b", "a/b", "c"]), ("hash", -5, "-5"), ("hash", None, None)], "kind string, fp long, text string")
