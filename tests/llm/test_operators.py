@@ -137,6 +137,18 @@ def test_dense_groups_end(spark, monkeypatch):
     assert got == [(0, 5000), (5000, 4000)]
 
 
+def test_links_across_splits(spark):
+    # A chain whose links are all longer than a split's margin.
+    grids = np.repeat(np.arange(24, dtype=np.float32)[:, None] * 11, 192, axis=1)
+    made = [(i, 100.0, 50.0, v) for i, v in enumerate(imaging.pack(grids).to_pylist())]
+    rows = spark.createDataFrame([*made, (99, 100.0, float("nan"), made[3][3])], "id long, avg_l double, saturation double, vec binary")
+    got = clusters.linked_clusters(rows).collect()
+    assert sorted(map(tuple, got)) == [(0, i) for i in range(24)]
+    parted = [(i, 0 if i < 9 else 9, *v[1:]) for i, v in enumerate(made)]
+    keyed = spark.createDataFrame([r[:2] for r in parted], "id long, key long")
+    assert {tuple(sorted(r)) for r in clusters.missed_links(rows.where("id < 24"), keyed).collect()} == {(0, 9)}
+
+
 def test_near_duplicates(comparable):
     p, g = _local(comparable)
     want = set()
