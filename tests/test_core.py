@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from gridloom.functions import output, vectors as v
 from gridloom.functions.content import hash_key, hash_value, location
+from gridloom.functions.vectors import CELL_WEIGHTS
 from gridloom.operators import analysis, library, nearest, pixels, selector
 from gridloom.operators.components import components
 from gridloom.operators.ranking import spread_rank
@@ -208,6 +209,24 @@ def _spec(tiles, window, tiles_x, penalty):
     return out
 
 
+def test_bounded_scores_are_those_of_all_pairs():
+    rng = np.random.default_rng(5)
+    cell, weights = np.array(CELL_WEIGHTS), (0.3, 0.6, 0.1)
+    scenes = rng.uniform(0, 255, (12, 64, 3))
+    g = np.clip(scenes[rng.integers(0, 12, 900)] + rng.normal(0, 6, (900, 64, 3)), 0, 255)
+    x, ids, penalty = rng.uniform(0, 255, (900, 4)), np.arange(900)[::-1].copy(), rng.integers(0, 4, 900) * 0.01
+    g[5], x[5], penalty[5] = g[6], x[6], penalty[6]
+    grid, side, own = g[:40], x[:40], ids[:40]
+    top, who = np.full(40, np.inf), np.full(40, -1)
+    scored = sum(selector.better_rows(top, who, own, side, grid, selector._coarse(grid, cell), ids[s], x[s], g[s], penalty[s], cell, weights) for s in (slice(0, 500), slice(500, 900)))
+    for t in range(40):
+        want = 0.3 * np.sqrt(((side[t, :3] - x[:, :3]) ** 2).sum(1)) / 100 + 0.1 * np.abs(side[t, 3] - x[:, 3]) + penalty + 0.6 * (np.sqrt(((grid[t] - g) ** 2).sum(2)) @ cell) / 6400
+        want[ids == own[t]] = np.inf
+        best = np.lexsort((ids, want))[0]
+        assert who[t] == ids[best] and abs(top[t] - want[best]) < 1e-9
+    assert scored < 0.5 * 40 * 900
+
+
 def test_greedy_choice(spark):
     rng = np.random.default_rng(6)
     pool = [rng.uniform(0, 255, 192).tolist() for _ in range(30)]
