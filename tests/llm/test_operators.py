@@ -149,6 +149,22 @@ def test_links_across_splits(spark):
     assert {tuple(sorted(r)) for r in clusters.missed_links(rows.where("id < 24"), keyed).collect()} == {(0, 9)}
 
 
+def test_missed_links_write_few_pairs(spark, monkeypatch):
+    # Two dense clusters whose balls are in reach of each other, though only one pair of their rows is linked.
+    rng = np.random.default_rng(4)
+    grids = np.r_[100 + rng.normal(0, 8, (200, 192)), 126 + rng.normal(0, 8, (200, 192)), [np.full(192, 108.0)], [np.full(192, 118.0)]].astype(np.float32)
+    keys = np.r_[np.zeros(200, int), np.ones(200, int), 0, 1]
+    d = np.sqrt(((grids[:, None].astype(float) - grids[None]) ** 2).mean(2))
+    assert ((d <= 20) & (keys[:, None] < keys[None])).any() and ((d <= 20) & (keys[:, None] < keys[None])).sum() < 500
+    rows = spark.createDataFrame([(i, 100.0, 50.0, v) for i, v in enumerate(imaging.pack(grids).to_pylist())], "id long, avg_l double, saturation double, vec binary")
+    written = []
+    cut = clusters.cut
+    monkeypatch.setattr(clusters, "cut", lambda df: written.append(cut(df)) or written[-1])
+    got = clusters.missed_links(rows, spark.createDataFrame([(i, int(k)) for i, k in enumerate(keys)], "id long, key long"))
+    assert {tuple(sorted(r)) for r in got.collect()} == {(0, 1)}
+    assert max(t.count() for t in written) < 10_000
+
+
 def test_near_duplicates(comparable):
     p, g = _local(comparable)
     want = set()
