@@ -90,16 +90,6 @@ def needed_bits(reach: tuple[np.ndarray, np.ndarray], distance: np.ndarray) -> n
     return np.where(at < len(reach[0]), np.append(reach[1], BITS + 1)[np.minimum(at, len(reach[0]))], BITS + 1)
 
 
-def coded(comparable: DataFrame, mean: np.ndarray, w: np.ndarray) -> DataFrame:
-    """(id, code) of every comparable image."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([column(b, "id"), pa.array(_encode(feature_rows(b), mean, w))], names=["id", "code"])
-
-    return comparable.select("id", "avg_l", "edge", "vec").mapInArrow(run, "id bigint, code bigint")
-
-
 def _part(code: F.Column, i: int, widths: list[int]) -> F.Column:
     moved = F.shiftrightunsigned(code, sum(widths[:i])) if i else code
     return moved if widths[i] == BITS else moved.bitwiseAND(F.lit((1 << widths[i]) - 1))
@@ -138,30 +128,87 @@ def _distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.sqrt(((x - y) ** 2).sum(1))
 
 
-def rerank(comparable: DataFrame, pairs: DataFrame, queries: pa.Table) -> DataFrame:
-    """(q, id, distance) of candidate pairs, by the vectors themselves; queries: q with their vectors, broadcast (at most BLOCK)."""
-    spark = comparable.sparkSession
-    order = np.argsort(queries.column("q").to_numpy())
-    shared = spark.sparkContext.broadcast((queries.column("q").to_numpy()[order], feature_rows(queries)[order]))
-    asked = pairs.groupBy("id").agg(F.collect_list("q").alias("asked"))
+def _keep_best(best_d: np.ndarray, best_i: np.ndarray, q: np.ndarray, ids: np.ndarray, d: np.ndarray) -> None:
+    """Puts rows (ids, d) of queries q among the best of each query (a line per query, nearest first, ties to the smaller id)."""
+    k = best_d.shape[1]
+    touched = np.unique(q)
+    all_q = np.concatenate([np.repeat(touched, k), q])
+    all_d = np.concatenate([best_d[touched].ravel(), d])
+    all_i = np.concatenate([best_i[touched].ravel(), ids])
+    o = np.lexsort((all_i, all_d, all_q))
+    all_q = all_q[o]
+    start = np.flatnonzero(np.r_[True, all_q[1:] != all_q[:-1]])
+    pick = o[start[:, None] + np.arange(k)]
+    best_d[touched], best_i[touched] = all_d[pick], all_i[pick]
+
+
+class QueryIndex:
+    """Multi-index of a query block's codes: by each part, its values in order with their queries."""
+
+    def __init__(self, codes: np.ndarray, widths: list[int]):
+        self.codes, self.widths = codes.view(np.uint64), widths
+        self.parts = []
+        for i in range(len(widths)):
+            value = self._part(self.codes, i)
+            order = np.argsort(value, kind="stable")
+            ends = np.searchsorted(value[order], np.arange((1 << widths[i]) + 1, dtype=np.uint64)) if widths[i] <= 16 else None
+            self.parts.append((value[order], order, ends))
+
+    def _part(self, codes: np.ndarray, i: int) -> np.ndarray:
+        return codes >> np.uint64(sum(self.widths[:i])) & np.uint64((1 << self.widths[i]) - 1)
+
+    def within(self, codes: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+        """(row, query): codes within `radius` bits of each other, each pair once, as within_radius finds them."""
+        codes, near = codes.view(np.uint64), radius // len(self.widths)
+        rows, queries = [], []
+        for i, (values, order, ends) in enumerate(self.parts):
+            probe = self._part(codes, i)[:, None] ^ np.array(_masks(self.widths[i], near), np.uint64)[None]
+            if ends is not None:
+                first, last = ends[probe], ends[probe + np.uint64(1)]
+            else:
+                first, last = np.searchsorted(values, probe), np.searchsorted(values, probe, "right")
+            r, m = np.nonzero(last > first)
+            start, size = first[r, m], (last - first)[r, m]
+            row = np.repeat(r, size)
+            q = order[np.repeat(start - np.cumsum(size) + size, size) + np.arange(len(row))]
+            apart = codes[row] ^ self.codes[q]
+            good = np.bitwise_count(apart) <= radius
+            for j in range(i):
+                good &= np.bitwise_count(self._part(apart, j)) > near
+            rows.append(row[good])
+            queries.append(q[good])
+        return np.concatenate(rows), np.concatenate(queries)
+
+
+def probe_block(comparable: DataFrame, queries: pa.Table, radius: int, widths: list[int], mean: np.ndarray, w: np.ndarray, k: int) -> DataFrame:
+    """(q, id, distance): each task's k nearest of the rows whose codes are within `radius` bits of a query's, by the vectors themselves.
+
+    The block's queries (at most BLOCK) are broadcast with a multi-index of their codes, which every row probes where it lies:
+    neither rows nor candidate pairs move."""
+    x = feature_rows(queries)
+    index = QueryIndex(_encode(x, mean, w), widths)
+    shared = comparable.sparkSession.sparkContext.broadcast((queries.column("q").to_numpy(), queries.column("own").to_numpy(), x, index))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        qs, qx = shared.value
+        qs, own, qx, index = shared.value
+        none = np.iinfo(np.int64).max
+        best_d, best_i = np.full((len(qs), k), np.inf), np.full((len(qs), k), none)
         for whole in batches:
-            for s in range(0, len(whole), 512):
-                b = whole.slice(s, 512)
-                x = feature_rows(b)
-                lists = column(b, "asked")
-                sizes = lists.value_lengths().to_numpy()
-                q = lists.flatten().to_numpy()
-                row = np.repeat(np.arange(len(b)), sizes)
-                d = np.empty(len(q))
-                at = np.searchsorted(qs, q)
-                for t in range(0, len(q), 8192):
-                    d[t : t + 8192] = _distances(x[row[t : t + 8192]], qx[at[t : t + 8192]])
-                yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(column(b, "id").to_numpy()[row]), pa.array(d)], names=["q", "id", "distance"])
-
-    return comparable.select("id", "avg_l", "edge", "vec").join(asked, "id").mapInArrow(run, "q bigint, id bigint, distance double")
+            for s in range(0, len(whole), 1024):
+                b = whole.slice(s, 1024)
+                ids, x = column(b, "id").to_numpy(), feature_rows(b)
+                r, q = index.within(_encode(x, mean, w), radius)
+                keep = ids[r] != own[q]
+                r, q = r[keep], q[keep]
+                if len(q):
+                    d = np.concatenate([_distances(x[r[t : t + 8192]], qx[q[t : t + 8192]]) for t in range(0, len(q), 8192)])
+                    some = d <= best_d[q, -1]
+                    if some.any():
+                        _keep_best(best_d, best_i, q[some], ids[r[some]], d[some])
+        q, n = np.nonzero(best_i < none)
+        yield pa.RecordBatch.from_arrays([pa.array(qs[q]), pa.array(best_i[q, n]), pa.array(best_d[q, n])], names=["q", "id", "distance"])
+
+    return comparable.select("id", "avg_l", "edge", "vec").mapInArrow(run, "q bigint, id bigint, distance double")
 
 
 def scan_block(comparable: DataFrame, queries: pa.Table, k: int, reach: np.ndarray | None = None) -> DataFrame:
@@ -184,21 +231,18 @@ def scan_block(comparable: DataFrame, queries: pa.Table, k: int, reach: np.ndarr
                 ids, x = column(b, "id").to_numpy(), feature_rows(b)
                 rough = q32 @ x.astype(np.float32).T
                 rough += (x**2).sum(1).astype(np.float32)[None]
-                q, r = np.nonzero(rough <= (best_d[:, -1:] ** 2 + 1e-3).astype(np.float32) - qn)
+                bound = (best_d[:, -1:] ** 2 + 1e-3).astype(np.float32) - qn
+                open_ = np.flatnonzero(~np.isfinite(bound[:, 0]))
+                if len(open_) and len(ids) > k:
+                    # A query has k rows of this batch at least this near (one more in case it meets itself).
+                    bound[open_, 0] = np.partition(rough[open_], k, axis=1)[:, k] + np.float32(2e-3)
+                q, r = np.nonzero(rough <= bound)
                 keep = ids[r] != own[q]
                 q, r = q[keep], r[keep]
                 if not len(q):
                     continue
                 d = np.concatenate([_distances(qx[q[t : t + 8192]], x[r[t : t + 8192]]) for t in range(0, len(q), 8192)])
-                touched = np.unique(q)
-                all_q = np.concatenate([np.repeat(touched, k), q])
-                all_d = np.concatenate([best_d[touched].ravel(), d])
-                all_i = np.concatenate([best_i[touched].ravel(), ids[r]])
-                o = np.lexsort((all_i, all_d, all_q))
-                all_q = all_q[o]
-                start = np.flatnonzero(np.r_[True, all_q[1:] != all_q[:-1]])
-                pick = o[start[:, None] + np.arange(k)]
-                best_d[touched], best_i[touched] = all_d[pick], all_i[pick]
+                _keep_best(best_d, best_i, q, ids[r], d)
         q, n = np.nonzero(best_i < none)
         yield pa.RecordBatch.from_arrays([pa.array(qs[q]), pa.array(best_i[q, n]), pa.array(best_d[q, n])], names=["q", "id", "distance"])
 
@@ -213,9 +257,9 @@ def _nearest(found: DataFrame, k: int) -> DataFrame:
 def nearest_images(comparable: DataFrame, asked: DataFrame, k: int = 10) -> DataFrame:
     """(q, id, distance, rank): the k nearest comparable images of every asked one (q, own), itself excluded; ties to the smaller id.
 
-    A rotation learned from at most SAMPLE rows turns each of the 194-number vectors into a 64-bit code; every row's code is
-    indexed by its parts, whose width follows the number of rows. Queries probe with no, one, ... FLIPS bits of a part flipped,
-    that is a growing radius, and rerank what they retrieve by exact distance. A query is answered once it has k rows and
+    A rotation learned from at most SAMPLE rows turns each of the 194-number vectors into a 64-bit code; a query block's codes
+    are indexed by their parts, whose width follows the number of rows. Rows probe with no, one, ... FLIPS bits of a part flipped,
+    that is a growing radius, and what they meet is ranked by exact distance. A query is answered once it has k rows and
     its k-th distance is one whose neighbours' codes, as learned from the sample, lie within the radius. Queries that find fewer
     rows, or whose distance no radius left would do for, are of images without near ones; they are answered from all rows
     within the k-th distance found, in blocks. Null and unknown `own` ids have no neighbours; repeated q count once. Queries are handled
@@ -226,9 +270,9 @@ def nearest_images(comparable: DataFrame, asked: DataFrame, k: int = 10) -> Data
     x = feature_rows(bounded_sample(comparable, SAMPLE, ["id", "avg_l", "edge", "vec"]))
     mean, w = learn_codes(x)
     reach_of = learn_reach(x, mean, w)
-    codes = cut(coded(comparable, mean, w))
-    asked = asked.where("q IS NOT NULL").groupBy("q").agg(F.min("own").alias("own"))
-    queries = cut(asked.join(comparable.select(F.col("id").alias("own"), "avg_l", "edge", "vec"), "own"))
+    asked = cut(asked.where("q IS NOT NULL").groupBy("q").agg(F.min("own").alias("own")))
+    few = F.broadcast(asked) if asked.count() <= BLOCK else asked
+    queries = cut(few.join(comparable.select(F.col("id").alias("own"), "avg_l", "edge", "vec"), "own"))
     n = queries.count()
     blocks = max(1, -(-n // BLOCK))
     result = None
@@ -244,9 +288,7 @@ def nearest_images(comparable: DataFrame, asked: DataFrame, k: int = 10) -> Data
         for radius in rungs:
             if not len(left):
                 break
-            now = spark.createDataFrame(vectors.select(["q", "own"]).take(pa.array(left)))
-            pairs = within_radius(codes, now.join(codes.withColumnRenamed("id", "own"), "own"), radius, widths)
-            got = cut(_nearest(rerank(comparable, pairs, vectors.take(pa.array(left))), k))
+            got = cut(_nearest(probe_block(comparable, vectors.take(pa.array(left)), radius, widths, mean, w, k), k))
             last = got.where(F.col("rank") == k).select("q", "distance").toArrow()
             at = dict(zip(q_all[left].tolist(), left.tolist()))
             where = [at[q] for q in last.column("q").to_pylist()]

@@ -219,6 +219,21 @@ def test_neighbours_are_exact_where_codes_are_dense(spark):
         assert got[q] == np.lexsort((np.arange(3000), d))[:5].tolist()
 
 
+def test_neighbours_move_no_rows(comparable, spark):
+    """A radius' candidates are ranked where the rows lie: nothing but each task's best is shuffled."""
+    rows = comparable.select("id", "avg_l", "edge", "vec")
+    queries = rows.where("id % 3 = 0").select(F.col("id").alias("q"), F.col("id").alias("own"), "avg_l", "edge", "vec").toArrow()
+    mean, w = neighbours.learn_codes(neighbours.feature_rows(rows.toArrow()))
+    code = lambda t: neighbours._encode(neighbours.feature_rows(t), mean, w)
+    table = rows.toArrow()
+    codes = spark.createDataFrame(list(zip(table.column("id").to_pylist(), code(table).tolist())), "id long, code long")
+    for widths, radius in (([16] * 4, 11), ([32, 32], 5), ([12, 12, 12, 12, 16], 14), ([16] * 4, 3)):
+        found = neighbours.probe_block(rows, queries, radius, widths, mean, w, 10_000)
+        want = neighbours.within_radius(codes, codes.where("id % 3 = 0").select(F.col("id").alias("q"), F.col("id").alias("own"), "code"), radius, widths)
+        assert sorted(map(tuple, found.select("q", "id").collect())) == sorted(map(tuple, want.collect()))
+        assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+
+
 def test_hamming_radius_is_complete(spark):
     rng = np.random.default_rng(3)
     base = rng.integers(-(2**63), 2**63 - 1, 20)
