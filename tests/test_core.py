@@ -364,3 +364,33 @@ def test_entry(spark):
 
     assert e.entry(spark).count() > 0
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_best_of_nearest(spark, monkeypatch):
+    """Every tile's best among its nearest rows, over several blocks of the library, without moving candidate pairs."""
+    rng = np.random.default_rng(21)
+    n, k = 700, 9
+    grid = np.rint(rng.uniform(0, 255, (n, 192)))
+    grid[300:400] = grid[200:300]  # equal distances
+    side = np.round(np.c_[rng.uniform(0, 255, (n, 3)), rng.uniform(0, 1, n)], 2)
+    side[300:400] = side[200:300]
+    uses = [None if i % 5 == 0 else i % 7 for i in range(n)]
+    rows = [(i, *map(float, side[i]), grid[i].tolist(), uses[i]) for i in range(n)]
+    rows[650] = (650, *rows[650][1:4], float("nan"), *rows[650][5:])
+    lib = spark.createDataFrame(rows, "id long, avg_l double, avg_a double, avg_b double, edge_density double, g array<float>, use_count int")
+    tiles = lib.where("id % 3 = 0").withColumn("tile", F.col("id") + 1000)
+    monkeypatch.setattr(selector, "LIBRARY_BLOCK", 150)
+    found = selector.best_of_nearest(lib, tiles, k, {"lab": 0.2, "grid": 0.45, "edge": 0.05}, 0.01)
+    assert found._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+    got = {r.tile: (r.image_id, r.ann_rank, r.score) for r in found.collect()}
+    x, cell = np.c_[side[:, :3] / 255, grid / 255, side[:, 3]], np.array(v.CELL_WEIGHTS)
+    for t in range(0, n, 3):
+        d = np.sqrt(((x - x[t]) ** 2).sum(1))
+        d[[t, 650]] = np.inf
+        near = np.lexsort((np.arange(n), d))[:k]
+        far = np.sqrt(((grid[near] - grid[t]) ** 2).reshape(k, 64, 3).sum(2)) @ cell / 6400
+        score = (0.2 * np.sqrt(((side[near, :3] - side[t, :3]) ** 2).sum(1)) / 100 + 0.45 * far + 0.05 * np.abs(side[near, 3] - side[t, 3])) / 0.7 + np.array([uses[i] or 0 for i in near]) * 0.01
+        best = min(range(k), key=lambda i: (round(score[i], 12), near[i]))
+        assert got[t + 1000][:2] == (near[best], best + 1) and abs(got[t + 1000][2] - score[best]) < 1e-9
+    assert len(got) == len(range(0, n, 3))
+    assert selector.best_of_nearest(lib.limit(0), tiles, k, {"lab": 1, "grid": 1, "edge": 1}, 0).count() == 0 and selector.best_of_nearest(lib, tiles.limit(0), k, {"lab": 1, "grid": 1, "edge": 1}, 0).count() == 0
