@@ -276,6 +276,24 @@ def test_history(spark, tmp_path):
     assert history.deduplicate_batches(store, df.limit(0)).count() == 0
 
 
+def test_large_batches_leave_the_store_where_it_lies(spark, tmp_path, monkeypatch):
+    entries = lambda numbers: spark.createDataFrame([("place", n * 7919 << 20 | n, f"folder/{n}") for n in numbers], "kind string, fp long, text string")
+    store = history.BlockStore(spark, str(tmp_path / "store"), 1, parts=8)
+    store.append(entries(range(300)), -1)
+    store.append(entries(range(250, 400)), 0)
+    monkeypatch.setattr(history, "SMALL_BATCH", 20_000)
+    plans, cut = [], history.cut
+    monkeypatch.setattr(history, "cut", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or cut(df))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = store.lookup(entries(range(200, 500)), 1)
+        plans.append(found._jdf.queryExecution().executedPlan().toString())
+        assert {r.text: r.first_batch for r in found.collect()} == {f"folder/{n}": -1 if n < 300 else 0 for n in range(200, 400)}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert len(plans) > 3 and not any("SortMergeJoin" in p or "ShuffledHashJoin" in p for p in plans)
+
+
 def test_lookup_reads_only_the_folders_it_needs(spark, tmp_path):
     rng = np.random.default_rng(7)
     codes = [int(x) for x in rng.integers(-(2**63), 2**63 - 1, 500)]
